@@ -45,27 +45,27 @@ def exact_quantiles(
         )
 
     marks = marks.select(*keys, "N", F.array(*[bracket(i) for i in range(k)]).alias("_b"))
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     if keys:
         joined = _null_safe_join(counts, marks, keys)
     else:
         whole = marks.select(F.struct("N", "_b").alias("_w")).scalar()
-        joined = counts.withColumn("_w", whole).select("_v", "n", "_w.N", "_w._b")
-    near = joined.select(*keys, "N", "_v", "n", F.explode("_b").alias("b")).filter(
+        joined = counts.withColumn("_w", whole).select("_v", "_n", "_w.N", "_w._b")
+    near = joined.select(*keys, "N", "_v", "_n", F.explode("_b").alias("b")).filter(
         F.col("b.hi").isNull() | (F.col("_v") <= F.col("b.hi"))
     )
     # All values below the bracket collapse, on the map side, to one row with a null value.
     inside = F.when(F.col("b.lo").isNull() | (F.col("_v") >= F.col("b.lo")), F.col("_v"))
-    ranked = near.groupBy(*keys, "N", "b", inside.alias("x")).agg(F.sum("n").alias("n"))
+    ranked = near.groupBy(*keys, "N", "b", inside.alias("x")).agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(*keys, "b.q").orderBy(F.col("x").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = ranked.withColumn("c", F.sum("n").over(upto)).filter(F.col("x").isNotNull())
+    ranked = ranked.withColumn("c", F.sum("_n").over(upto)).filter(F.col("x").isNotNull())
     ends = ranked.groupBy(*keys, "N", F.col("b.q").alias("q"), F.col("b.frac").alias("frac")).agg(
         F.min(F.when(F.col("c") > F.col("b.r0"), F.col("x"))).alias("x0"),
         F.min(F.when(F.col("c") > F.col("b.r1"), F.col("x"))).alias("x1"),
     )
-    point = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("frac")
+    point = F.col("x0") * (1 - F.col("frac")) + F.col("x1") * F.col("frac")
     return ends.groupBy(*keys, "N").agg(
         *[F.max(F.when(F.col("q") == i, point)).alias(n) for i, n in enumerate(names)]
     )

@@ -127,11 +127,18 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         F.count(F.lit(1)).alias("REGISTROS"))
 
 
-def missing_days(stock: DataFrame) -> DataFrame:
-    """Calendar days between the first and last snapshot on which nothing was recorded."""
-    span = stock.agg(F.min("FECHA").alias("lo"), F.max("FECHA").alias("hi"))
-    calendar = span.select(F.explode(F.sequence("lo", "hi")).alias("FECHA"))
-    return calendar.join(stock.select("FECHA").distinct(), "FECHA", "left_anti")
+def missing_days(stock: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Days between the first and last snapshot on which nothing was recorded.
+
+    With ``groups`` each group has its own range. Gaps come from consecutive recorded days.
+    """
+    groups = groups or []
+    days = stock.select(*groups, "FECHA").distinct()
+    by_day = Window.partitionBy(*groups).orderBy("FECHA")  # one row per calendar day
+    following = days.withColumn("_next", F.lead("FECHA").over(by_day))
+    gaps = following.filter(F.datediff("_next", "FECHA") > 1)
+    return gaps.select(
+        *groups, F.explode(F.sequence(F.date_add("FECHA", 1), F.date_sub("_next", 1))).alias("FECHA"))
 
 
 def month_coverage(stock: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables and their SQL twins."""
 
-from . import kpis  # noqa: F401
+from . import cleaning, eda, forecast, kpis, profile, scalars  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]
