@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def date_from_key(c: Column) -> Column:
     """``YYYYMMDD`` number to date; null when it is no calendar day."""
-    return F.try_to_date(c.try_cast("bigint").cast("string"), "yyyyMMdd")
+    key = c.try_cast("bigint").cast("string")
+    dashed = F.concat(F.substring(key, 1, 4), F.lit("-"), F.substring(key, 5, 2), F.lit("-"), F.substring(key, 7, 12))
+    return dashed.try_cast("date")
 
 
 def date_key(c: Column) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def to_number(c: Column) -> Column:
     """Double, or null when the text is not a number."""
-    value = F.trim(c.cast("string")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(F.trim(c.cast("string")).try_cast("double"), F.lit(None).cast("double"))
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ..schemas import FILE_COUNTRIES, NULL_SPELLINGS, TIER_ORDER, TYPE_LABELS
 
 
+def normal_text(c: Column) -> Column:
+    """Collapse whitespace, strip and upper-case."""
+    return F.upper(F.trim(F.regexp_replace(c.cast("string"), r"[\s\p{Z}]+", " ")))
+
+
+def present(c: Column) -> Column:
+    """Null for a spelling of a missing value."""
+    return F.when(~c.isin(NULL_SPELLINGS), c)
+
+
 def clean_text(c: Column) -> Column:
-    """Collapse whitespace, strip, upper-case; spellings of a missing value become null."""
-    text = F.upper(F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " ")))
-    return F.when(~text.isin(NULL_SPELLINGS), text)
+    """Normal text, or null for a spelling of a missing value."""
+    return present(normal_text(c))
 
 
 def country_from_file(file_name: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import calendar_columns, clean_text, date_from_key, safe_ratio, to_number
+from ..functions import calendar_columns, date_from_key, safe_ratio, to_number
 from ..functions.dates import date_key
+from ..functions.text import normal_text, present
 from ..schemas import NUMBER_COLUMNS, TEXT_COLUMNS, CleaningParams
 
 COPY_KEYS = [
@@ -18,15 +20,27 @@ COPY_KEYS = [
 REQUIRED = ["PAIS", "CODIGO_SKU", "CODIGO_BODEGA", "VALUE", "COSTO", "FECHA_VENTA_INVENTARIO"]
 
 
+def computed_once(df: DataFrame, changes: Mapping[str, Column]) -> DataFrame:
+    """Replace columns by costly expressions so that later filters do not repeat them.
+
+    A filter over a plain projection is pushed below it with a copy of each expression it
+    names; a filter over generated columns stays above and reads their values.
+    """
+    fields = [changes[c].alias(c) if c in changes else F.col(c) for c in df.columns]
+    new = [e.alias(c) for c, e in changes.items() if c not in df.columns]
+    return df.select(F.inline(F.array(F.struct(*fields, *new))))
+
+
 def typed(df: DataFrame, country_names: Mapping[str, str] | None = None) -> DataFrame:
     """Normalise text, coerce numbers, fill the country from the source file.
 
     ``country_names`` maps spellings of a country to one form (``{"PY": "PARAGUAY"}``), so
     that codes in the data and names taken from file names meet in joins.
     """
-    changes = {c: clean_text(F.col(c)) for c in TEXT_COLUMNS if c in df.columns}
+    texts = [c for c in TEXT_COLUMNS if c in df.columns]
+    changes = {c: normal_text(F.col(c)) for c in texts}
     changes |= {c: to_number(F.col(c)) for c in NUMBER_COLUMNS if c in df.columns}
-    out = df.withColumns(changes)
+    out = computed_once(df, changes).withColumns({c: present(F.col(c)) for c in texts})
     if "PAIS" in out.columns:
         country = F.col("PAIS")
         if "SOURCE_COUNTRY" in out.columns:
@@ -63,11 +77,20 @@ def with_unit_price(df: DataFrame, min_price: float = 1.0, keep_zero_inventory:
     return out.filter(keep)
 
 
+def with_day(df: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:
+    """Parse the date key and keep ``date_min`` <= day < ``date_cut``."""
+    key = F.col("FECHA_VENTA_INVENTARIO")
+    rows = df.filter((key >= _key_of(params.date_min)) & (key < _key_of(params.date_cut)))
+    return rows.withColumn("FECHA", date_from_key(key)).filter(F.col("FECHA").isNotNull())
+
+
 def with_dates(df: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:
-    """Parse the date key, keep ``date_min`` <= day < ``date_cut``, add calendar columns."""
-    out = df.withColumn("FECHA", date_from_key(F.col("FECHA_VENTA_INVENTARIO")))
-    out = out.filter(F.col("FECHA").isNotNull() & (F.col("FECHA") >= F.lit(params.date_min)))
-    return calendar_columns(before_cut(out, params))
+    """``with_day`` plus the calendar columns."""
+    return calendar_columns(with_day(df, params))
+
+
+def _key_of(day: date) -> int:
+    return day.year * 10000 + day.month * 100 + day.day
 
 
 def before_cut(df: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:
@@ -141,6 +164,6 @@ def step_counts(df: DataFrame, params: CleaningParams = CleaningParams()) -> Dat
 
 
 __all__ = [
-    "before_cut", "date_key", "first_of_copies", "not_muted", "of_types", "step_counts", "typed",
-    "with_dates", "with_margin", "with_required", "with_revenue", "with_unit_price", "without_copies",
+    "before_cut", "computed_once", "date_key", "first_of_copies", "not_muted", "of_types", "step_counts", "typed",
+    "with_dates", "with_day", "with_margin", "with_required", "with_revenue", "with_unit_price", "without_copies",
 ]

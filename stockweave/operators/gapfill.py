@@ -76,6 +76,21 @@ def with_filled_inventory(df: DataFrame) -> DataFrame:
     return stack_frames([df.filter(~is_stock), filled.select(*kept)])
 
 
+def filled_prices(df: DataFrame) -> DataFrame:
+    """(TIPO_TRANSACCION, PRECIO_UNITARIO, VECES) of the gap-filled table, without its days.
+
+    A stock key has the price of its earliest row on each of the VECES days of the range.
+    """
+    is_stock = F.col("TIPO_TRANSACCION") == "INVENTORY"
+    inventory = df.filter(is_stock)
+    reference = [c for c in REFERENCE if c in df.columns]
+    span = inventory.agg((F.datediff(F.max("FECHA"), F.min("FECHA")) + 1).cast("bigint")).scalar()
+    first = inventory.groupBy(*STOCK_KEYS).agg(F.min(F.struct("FECHA", *reference)).alias("_ref"))
+    held = first.select(F.lit("INVENTORY").alias("TIPO_TRANSACCION"), F.col("_ref.PRECIO_UNITARIO"), span.alias("VECES"))
+    moved = df.filter(~is_stock).select("TIPO_TRANSACCION", "PRECIO_UNITARIO", F.lit(1).cast("bigint").alias("VECES"))
+    return moved.unionByName(held)
+
+
 def stockout_from_runs(inventory: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Days and empty days per key of the gap-filled series, without building its rows."""
     keys = keys or STOCK_KEYS

@@ -9,9 +9,11 @@ from ..schemas import CleaningParams
 from .quantiles import exact_quantiles
 
 
-def iqr_bounds(df: DataFrame, keys: list[str], value: str, factor: float = 1.5) -> DataFrame:
+def iqr_bounds(
+    df: DataFrame, keys: list[str], value: str, factor: float = 1.5, repeat: str | None = None
+) -> DataFrame:
     """N, Q1, Q3 and the lower / upper bound per key."""
-    q = exact_quantiles(df, keys, value, {"Q1": 0.25, "Q3": 0.75})
+    q = exact_quantiles(df, keys, value, {"Q1": 0.25, "Q3": 0.75}, repeat=repeat)
     spread = F.col("Q3") - F.col("Q1")
     return q.withColumns({
         "LIM_INF": F.col("Q1") - factor * spread,
@@ -19,17 +21,25 @@ def iqr_bounds(df: DataFrame, keys: list[str], value: str, factor: float = 1.5)
     })
 
 
-def price_bounds(df: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:
+def price_bounds(
+    df: DataFrame, params: CleaningParams = CleaningParams(), repeat: str | None = None
+) -> DataFrame:
     """Bounds per movement type; types with few prices or no spread have no row."""
     known = df.filter(F.col("TIPO_TRANSACCION").isin(list(params.types)))
-    bounds = iqr_bounds(known, ["TIPO_TRANSACCION"], "PRECIO_UNITARIO", params.iqr_factor)
+    bounds = iqr_bounds(known, ["TIPO_TRANSACCION"], "PRECIO_UNITARIO", params.iqr_factor, repeat)
     usable = (F.col("N") >= params.iqr_min_rows) & (F.col("Q3") > F.col("Q1"))
     return bounds.filter(usable).withColumn("LIM_INF", F.greatest("LIM_INF", F.lit(0.0)))
 
 
-def capped_prices(df: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:
-    """Cap the unit price per movement type and flag the capped rows in ES_OUTLIER."""
-    limits = price_bounds(df, params).select("TIPO_TRANSACCION", "LIM_INF", "LIM_SUP")
+def capped_prices(
+    df: DataFrame, params: CleaningParams = CleaningParams(), bounds: DataFrame | None = None
+) -> DataFrame:
+    """Cap the unit price per movement type and flag the capped rows in ES_OUTLIER.
+
+    ``bounds`` are those of ``df`` unless given.
+    """
+    limits = (bounds if bounds is not None else price_bounds(df, params)).select(
+        "TIPO_TRANSACCION", "LIM_INF", "LIM_SUP")
     # limits has at most one row per listed type, so the broadcast is bounded.
     out = df.join(F.broadcast(limits), "TIPO_TRANSACCION", "left")
     price = F.col("PRECIO_UNITARIO")

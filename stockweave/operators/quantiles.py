@@ -12,6 +12,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     accuracy: int = 10_000,
+    repeat: str | None = None,
 ) -> DataFrame:
     """One row per key: ``N`` values and one column per named probability.
 
@@ -19,19 +20,25 @@ def exact_quantiles(
     below it is summed. Groups of up to ``accuracy`` rows are bracketed whole, larger ones
     by at most about ``6 / accuracy`` of their rows, and equal values are counted first, so
     a key that holds a third of the table stays spread over tasks.
+
+    ``repeat`` names a column by which each row stands for that many equal rows; it must be
+    the same for all rows of a key.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    times = F.col(repeat).cast("bigint") if repeat else F.lit(1).cast("bigint")
+    rows = df.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("_v"), times.alias("_t"))
     slack = 3.0 / accuracy
     names = list(probs)
     lows = [max(probs[n] - slack, 0.0) for n in names]
     highs = [min(probs[n] + slack, 1.0) for n in names]
     marks = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("N"),
+        F.sum("_t").alias("N"),
+        F.count(F.lit(1)).alias("_rows"),
         F.percentile_approx("_v", lows + highs, accuracy).alias("_m"),
     )
     k = len(names)
-    small = F.col("N") <= accuracy
+    small = F.col("_rows") <= accuracy
 
     def bracket(i: int):
         pos = F.lit(probs[names[i]]) * (F.col("N") - 1)
@@ -45,7 +52,7 @@ def exact_quantiles(
         )
 
     marks = marks.select(*keys, "N", F.array(*[bracket(i) for i in range(k)]).alias("_b"))
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(*keys, "_v").agg(F.sum("_t").alias("_n"))
     if keys:
         joined = _null_safe_join(counts, marks, keys)
     else:

@@ -6,12 +6,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from ..functions import calendar_columns
 from ..operators import cleaning
 from ..operators.columns import canonical_columns, preferred_order, with_missing
 from ..operators.enrich import device_catalogue, enriched, warehouse_catalogue
-from ..operators.gapfill import with_filled_inventory
-from ..operators.outliers import capped_prices
+from ..operators.gapfill import filled_prices, with_filled_inventory
+from ..operators.outliers import capped_prices, price_bounds
 from ..schemas import CLEAN_FACT_ORDER, MOVEMENT_COLUMNS, CleaningParams
+from ..session import stored
 
 
 def cleaned(
@@ -21,7 +23,7 @@ def cleaned(
     df = cleaning.typed(with_missing(canonical_columns(raw), MOVEMENT_COLUMNS), country_names)
     df = cleaning.with_required(cleaning.of_types(df, params.types), params.keep_zero_inventory)
     df = cleaning.with_unit_price(df, params.min_price, params.keep_zero_inventory)
-    return cleaning.without_copies(cleaning.with_dates(df, params))
+    return calendar_columns(cleaning.without_copies(cleaning.with_day(df, params)))
 
 
 def clean_fact(
@@ -32,12 +34,20 @@ def clean_fact(
     fill_gaps: bool = True,
     country_names: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """The whole plan; one lazy chain that the caller's write runs once."""
-    df = cleaned(raw, params, country_names)
+    """The whole plan.
+
+    The de-duplicated movements are stored once: gap fill, price bounds and the result each
+    read some of their columns, and the parsing of the raw text is not repeated. Price
+    bounds come from the keys and the number of days, not from the filled rows.
+    """
+    base = stored(cleaned(raw, params, country_names), "movements")
     if fill_gaps:
-        df = with_filled_inventory(df)
+        bounds = price_bounds(filled_prices(base), params, "VECES")
+        df = capped_prices(with_filled_inventory(base), params, bounds)
+    else:
+        df = capped_prices(base, params)
     df = enriched(
-        capped_prices(df, params),
+        df,
         device_catalogue(devices) if devices is not None else None,
         warehouse_catalogue(warehouses) if warehouses is not None else None,
     )

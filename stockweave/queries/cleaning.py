@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, enrich, gapfill, outliers
 from ..operators.columns import canonical_columns, stack_frames
 from ..plans.clean_fact import clean_fact, cleaned
+from ..session import stored
 from .base import PARAMS, query
 from .kpis import FILLED
 
@@ -219,14 +220,14 @@ SELECT c.* REPLACE (CASE WHEN hi IS NULL THEN PRECIO_UNITARIO ELSE least(greates
   coalesce(PRECIO_UNITARIO < lo OR PRECIO_UNITARIO > hi, FALSE) AS ES_OUTLIER
 FROM clean c LEFT JOIN iqr i ON c.TIPO_TRANSACCION = i.TIPO_TRANSACCION""", IQR)
 def _(t):
-    return outliers.capped_prices(cleaned(t.raw, PARAMS), PARAMS)
+    return outliers.capped_prices(stored(cleaned(t.raw, PARAMS), "movements"), PARAMS)
 
 
 @query("out_02_listado_global", "PAIS s, CODIGO_SKU s, TIPO_TRANSACCION s, FECHA t, PRECIO_UNITARIO d4", """
 SELECT * FROM clean, (SELECT quantile_cont(PRECIO_UNITARIO, 0.25) AS q1, quantile_cont(PRECIO_UNITARIO, 0.75) AS q3 FROM clean)
 WHERE PRECIO_UNITARIO < q1 - 1.5 * (q3 - q1) OR PRECIO_UNITARIO > q3 + 1.5 * (q3 - q1)""")
 def _(t):
-    return outliers.outlier_rows(cleaned(t.raw, PARAMS))
+    return outliers.outlier_rows(stored(cleaned(t.raw, PARAMS), "movements"))
 
 
 @query("fase_1_hecho_limpio", "PAIS s, TIPO_TRANSACCION s, MARCA s, N l, UNIDADES d2, PRECIO d4, OUTLIERS l", """

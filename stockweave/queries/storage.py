@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
+from ..functions import clean_text
 from ..operators import cleaning
 from ..plans import forecast as fc
 from ..plans import report
@@ -61,7 +62,7 @@ def _(t):
     folder = _dir(t, "raw")
     cols = ["PAIS", "FECHA_VENTA_INVENTARIO", "TIPO_TRANSACCION", "CODIGO_SKU", "CODIGO_BODEGA", "VALUE", "COSTO"]
     # The country comes from the data here, so that only ORIGEN depends on the file name.
-    named = t.raw.withColumn("PAIS", F.coalesce(cleaning.clean_text(F.col("PAIS")), F.col("SOURCE_COUNTRY"))).select(*cols)
+    named = t.raw.withColumn("PAIS", F.coalesce(clean_text(F.col("PAIS")), F.col("SOURCE_COUNTRY"))).select(*cols)
     headers = {
         "Sales": ("py", ";", ["Country", "FECHA", "Tipo de Transaccion", "SKU", "Bodega", "Unidades", "Cost"]),
         " inventory ": ("NI", "|", ["PAIS", "Date", "TRANSACCION", "cod sku", "Warehouse", "UNITS", "COSTO"]),

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import last_items, mean_of, population_std, rounded_even
+from ..functions import last_items, mean_of, population_std
 from ..functions.arrays import from_end
 from ..plans import forecast as fc
 from ..session import frozen, shared_folder
@@ -407,5 +407,3 @@ def _(t):
         F.count("*").alias("n"), F.sum("value").alias("unidades"),
         F.sum(F.col("costo").cast("decimal(20,4)")).alias("importe"))
 
-
-__all__ = ["ORDERS", "QTY", "REPLAY", "rounded_even"]

@@ -117,11 +117,15 @@ def export_lines(events: DataFrame, folder: str, files: int) -> None:
 
 
 def event_sample(sales: DataFrame, stock: DataFrame, total: int, seed: int = 42) -> DataFrame:
-    """Repeatable sample without replacement: 40 % sales, 60 % stock rows of ``total``."""
-    from ..operators.ranking import top_rows
+    """Repeatable sample without replacement: 40 % sales, 60 % stock rows of ``total``.
 
+    Rows are numbered in hash order over range slices, so any sample size stays distributed.
+    """
     def draw(df: DataFrame, n: int) -> DataFrame:
-        mix = F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(df.columns)])
-        return top_rows(df.withColumn("_mix", mix), [F.asc("_mix"), *[F.asc(c) for c in sorted(df.columns)]], n).drop("_mix")
+        columns = sorted(df.columns)
+        mixed = df.withColumn("_mix", F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]))
+        order = ["_mix", *columns]
+        numbered = with_row_number(sliced(mixed, [], order), order, "_pos")
+        return numbered.filter(F.col("_pos") <= n).select(*df.columns)
 
     return draw(sales, int(total * 0.4)).unionByName(draw(stock, int(total * 0.6)))

@@ -161,3 +161,15 @@ def test_catalogue_fills_only_nulls(spark):
     dim = spark.createDataFrame([("PY", "1", "CAT", "T"), ("PY", "2", "CAT", "T")], "PAIS string, CODIGO_SKU string, MARCA string, TIER string")
     got = sorted((r.PAIS, r.CODIGO_SKU, r.MARCA, r.TIER) for r in filled_from(fact, dim, ["PAIS", "CODIGO_SKU"]).collect())
     assert got == [("NI", "1", None, None), ("PY", "1", "CAT", "T"), ("PY", "2", "OWN", "T")]
+
+
+def test_bounds_of_the_filled_table_without_its_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [("INVENTORY", "PY", str(k), "B", D + timedelta(int(d)), 1.0, float(rng.integers(1, 99)), float(rng.integers(1, 99)))
+            for k in range(25) for d in rng.choice(20, 3, replace=False)]
+    rows += [("SALES", "PY", "1", "B", D, 1.0, 1.0, float(v)) for v in rng.integers(1, 50, 30)]
+    df = spark.createDataFrame(rows, "TIPO_TRANSACCION string, PAIS string, CODIGO_SKU string, CODIGO_BODEGA string, FECHA date, "
+                               "VALUE double, COSTO double, PRECIO_UNITARIO double")
+    direct = outliers.price_bounds(gapfill.with_filled_inventory(df)).orderBy("TIPO_TRANSACCION").collect()
+    short = outliers.price_bounds(gapfill.filled_prices(df), repeat="VECES").orderBy("TIPO_TRANSACCION").collect()
+    assert direct == short and len(direct) == 2
