@@ -171,7 +171,8 @@ def _(t):
 
 @query("agg_27_sku_nuevo", "PAIS s, CODIGO_SKU s, MARCA s, TIER s, DEMANDA_ESPERADA d1, RANGO_MIN d1, RANGO_MAX d1, "
        "STOCK_SUGERIDO d1", """
-SELECT n.*, DEMANDA_SEMANAL_PROM AS DEMANDA_ESPERADA, greatest(DEMANDA_SEMANAL_PROM - coalesce(DEMANDA_SEMANAL_STD, 0), 0) AS RANGO_MIN,
+SELECT n.*, DEMANDA_SEMANAL_PROM AS DEMANDA_ESPERADA, 
+  CASE WHEN DEMANDA_SEMANAL_PROM IS NOT NULL THEN greatest(DEMANDA_SEMANAL_PROM - coalesce(DEMANDA_SEMANAL_STD, 0), 0) END AS RANGO_MIN,
   DEMANDA_SEMANAL_PROM + coalesce(DEMANDA_SEMANAL_STD, 0) AS RANGO_MAX, DEMANDA_SEMANAL_PROM * 4 AS STOCK_SUGERIDO
 FROM (SELECT DISTINCT PAIS, CODIGO_SKU, MARCA, TIER FROM mv WHERE ESTADO = 'NEW') n
 LEFT JOIN ref USING (PAIS, MARCA, TIER)""", RANGE)
