@@ -23,7 +23,7 @@ HEADLINE = [
     "agg_06_jon_06_kpi_inventario", "agg_07_stockout_rate", "agg_07b_stockout_desde_tramos", "agg_08_jon_07_fill_rate_sku",
     "agg_10_win_04_marcas", "agg_13_jon_08_diagnostico_ultimo_mes", "ord_02_top_modelos", "agg_20_ranking_marcas",
     "ddp_01_sin_duplicados", "gap_01_jon_04_05_relleno_diario", "out_01b_precios_capados", "jon_01_02_enriquecido",
-    "fase_1_hecho_limpio", "prf_01_nulos", "prf_05_describe_tipo", "win_09_pareto", "agg_36_correlacion",
+    "hecho_limpio_completo", "prf_01_nulos", "prf_05_describe_tipo", "win_09_pareto", "agg_36_correlacion",
     "agg_31_precio_mediano", "agg_24_demanda_semanal", "win_05_06_07_ml_01_features", "ml_04_corte_temporal",
     "ml_09_metricas", "str_02_ventana_de_20", "str_05_replay", "str_07_kpis", "str_08_a_14_alertas",
     "jon_15_ord_09_sustitutos", "agg_38_resumen_ventana",

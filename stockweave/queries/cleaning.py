@@ -230,7 +230,7 @@ def _(t):
     return outliers.outlier_rows(stored(cleaned(t.raw, PARAMS), "movements"))
 
 
-@query("fase_1_hecho_limpio", "PAIS s, TIPO_TRANSACCION s, MARCA s, N l, UNIDADES d2, PRECIO d4, OUTLIERS l", """
+@query("hecho_limpio_completo", "PAIS s, TIPO_TRANSACCION s, MARCA s, N l, UNIDADES d2, PRECIO d4, OUTLIERS l", """
 SELECT PAIS, c.TIPO_TRANSACCION, MARCA, count(*) AS N, sum(VALUE) AS UNIDADES,
   exact_avg(P) AS PRECIO, count(*) FILTER (O) AS OUTLIERS
 FROM (SELECT c.*, CASE WHEN hi IS NULL THEN PRECIO_UNITARIO ELSE least(greatest(PRECIO_UNITARIO, lo), hi) END AS P,
