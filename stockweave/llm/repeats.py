@@ -91,13 +91,15 @@ def repeated_ranges(docs: DataFrame, scheme, name: str, earlier_only: bool) -> D
     size = scheme.size
     rows = kept(context_rows(docs, scheme), f"{name}-contexts")
     again = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    again = kept(again, f"{name}-keys")  # read back, so that the join's skewed keys can be split
     found = kept(rows.join(again, "key", "left_semi"), f"{name}-candidates")
 
     same = ["key", "windows", "ctx"]
-    contexts = found.groupBy(*same).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min(F.struct("doc_id", "th", "start")).alias("place"))
+    contexts = kept(found.groupBy(*same).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min(F.struct("doc_id", "th", "start")).alias("place")), f"{name}-distinct")
     mixed = contexts.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("windows") + size).alias("width"), F.min("first").alias("a"), F.max("first").alias("b"))
     mixed = mixed.filter("n > 1 and a < b" if earlier_only else "n > 1")
-    asked = contexts.drop("n").join(mixed.select("key", (F.col("width") > LIMIT // scheme.bytes_per_unit).alias("hot")), "key")
+    mixed = kept(mixed.select("key", (F.col("width") > LIMIT // scheme.bytes_per_unit).alias("hot")), f"{name}-mixed")
+    asked = contexts.drop("n").join(mixed, "key")
     contents = kept(_contents(docs, asked, scheme), f"{name}-contents")
     settled = _settled(contents.filter(~F.col("hot")), scheme).unionByName(_settled_hot(contents.filter("hot"), scheme, earlier_only))
 
