@@ -5,8 +5,8 @@ and right ones, and a left one followed by a right one becomes a new symbol. Nam
 what they replace, so every task gives equal runs and pairs the same global name without a table
 of names, and equal substrings carry the same symbols but for a few at each end. Per window the
 rounds keep which symbols depend on nothing outside the window; the least of those of the highest
-round that has any is the window's key. Windows with a shared symbol are then compared word by
-word (``repeats.py``).
+round that has any is the window's key. Windows with a shared symbol are then compared in full
+(``repeats.py``).
 
 Defined results: null and empty texts have no words and stay as they are; a text of fewer words
 than a window loses nothing; rows that repeat a doc_id never count as earlier than one another;
@@ -120,7 +120,7 @@ def window_keys(symbols: np.ndarray, first: np.ndarray, starts: np.ndarray, size
 class WordScheme:
     """Windows of ``size`` consecutive words."""
 
-    bytes_per_unit = 20  # a window is held for each word
+    bytes_per_unit = 4
 
     def __init__(self, size: int = 50) -> None:
         self.size = size
@@ -158,8 +158,8 @@ class WordScheme:
         return [content[offset[k] : offset[k + self.size] - 1] for k in range(len(words) - self.size + 1)]
 
     def settle(self, contents: list[bytes], firsts: list[int]) -> list[np.ndarray]:
-        """Windows that also start in a context of a smaller first document, compared in full."""
-        all_windows = [self.windows(c) for c in contents]
+        """Windows that also start in a context of a smaller first document, by 128-bit digests of their words."""
+        all_windows = [list(map(xxhash.xxh3_128_digest, self.windows(c))) for c in contents]
         seen: dict[bytes, int] = {}
         for windows, first in zip(all_windows, firsts, strict=True):
             for w in windows:

@@ -173,11 +173,20 @@ def _settled_hot(contents: DataFrame, scheme, earlier_only: bool) -> DataFrame:
                 n = len(names)
                 yield record(schema, [[key] * n, [windows] * n, [ctx] * n, [first] * n, range(n), names])
 
-    each = contents.dropDuplicates(["key", "windows", "ctx"]).mapInArrow(spread, "key long, windows int, ctx long, first long, i int, name binary")
+    each = kept(contents.dropDuplicates(["key", "windows", "ctx"]).mapInArrow(spread, "key long, windows int, ctx long, first long, i int, name binary"), "hot-windows")
     groups = each.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("first").alias("least"))
     hit = each.join(groups, ["key", "name"]).filter(F.col("first") > F.col("least") if earlier_only else F.col("n") > 1)
-    single = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
-    return hit.groupBy("key", "windows", "ctx").agg(F.collect_list(single).alias("flagged"))
+
+    def joined(batches):
+        for batch in batches:
+            rows = []
+            for key, windows, ctx, places in columns_of(batch, "key", "windows", "ctx", "places"):
+                flags = np.zeros(max(places) + 1, bool)
+                flags[places] = True
+                rows.append((key, windows, ctx, [{"a": a, "b": b} for a, b in flagged_runs(flags)]))
+            yield record(FLAGGED_ARROW, list(zip(*rows, strict=True)) or [[]] * 4)
+
+    return hit.groupBy("key", "windows", "ctx").agg(F.collect_list("i").alias("places")).mapInArrow(joined, FLAGGED)  # MOST places at most
 
 
 def removals(docs: DataFrame, scheme, name: str, earlier_only: bool, cut: Callable, schema: pa.Schema, columns: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,9 @@ SAFE_SPACE = re.compile(f"(?<={EDGE}) (?={EDGE})")
 EDGES = re.compile(f"{EDGE}(.*{EDGE})?", re.DOTALL)
 #: No combining marks, one lower-case form each.
 PLAIN = re.compile("[!-~¡-¬®-įı-ſ\n]+")
-PARTS, PIECES = 250_000, 250_000
+PARTS, PIECES = 700_000, 500_000
+#: Signs that end a word; after letters they are one piece in both pre-tokenizers.
+TAIL = ".,!?;:"
 
 
 def byte_characters() -> list[str]:
@@ -45,14 +48,39 @@ class Parts(dict):
         self.owner = owner
 
     def __missing__(self, part: str) -> bytes:
-        if not EDGES.fullmatch(part):
-            raise Unsafe
         if len(self) >= PARTS:
             self.clear()
-        ids = self[part] = self.owner.part(self.owner.lead + part)
+        owner, core = self.owner, part.rstrip(TAIL)
+        if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
+            ids = owner.pieces[owner.lead + (core.lower() if owner.lower else core)]
+            if len(core) < len(part):
+                ids += owner.pieces[part[len(core) :]]
+        elif EDGES.fullmatch(part):
+            ids = owner.part(owner.lead + part)
+        else:
+            raise Unsafe
+        self[part] = ids
         return ids
 
 
+class Pieces(dict):
+    """ids by what the pre-tokenizer cuts out."""
+
+    def __init__(self, owner: WordPieces) -> None:
+        self.owner, self.alphabet = owner, byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+        if piece.isascii() and piece.isprintable():
+            word = piece.replace(" ", self.alphabet[32])
+        else:
+            word = "".join([self.alphabet[b] for b in piece.encode()])
+        ids = [t.id for t in self.owner.model.tokenize(word)]
+        data = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return data
+
+
 class WordPieces:
     """``encode(text)`` gives the ids of the library's ``encode(text, add_special_tokens=False)`` as bytes."""
 
@@ -68,9 +96,7 @@ class WordPieces:
         else:
             self.lead, pattern = " ", BYTE_LEVEL_PATTERN
         self.pattern = regex.compile(pattern)
-        self.alphabet = byte_characters()
-        self.parts = Parts(self)
-        self.pieces: dict[str, bytes] = {}
+        self.parts, self.pieces = Parts(self), Pieces(self)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def encode(self, text: str) -> bytes:
@@ -86,14 +112,7 @@ class WordPieces:
     def part(self, part: str) -> bytes:
         if not PLAIN.fullmatch(part.removeprefix(self.lead) if self.lead else part):
             return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self.pieces.get(p) or self.piece(p) for p in self.pattern.findall(part.lower() if self.lower else part)])
-
-    def piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        word = "".join([self.alphabet[b] for b in piece.encode()])
-        ids = self.pieces[piece] = np.asarray([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        return ids
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(part.lower() if self.lower else part)))
 
 
 @lru_cache(maxsize=2)
