@@ -111,7 +111,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
 class ByteScheme:
     """Windows of ``size`` consecutive UTF-8 bytes."""
 
-    bytes_per_unit = 1
+    limit = 1_500_000  # suffixes of a chunk have ranks below 2**21
 
     def __init__(self, size: int = 200) -> None:
         assert size >= GRAM

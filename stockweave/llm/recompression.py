@@ -120,7 +120,7 @@ def window_keys(symbols: np.ndarray, first: np.ndarray, starts: np.ndarray, size
 class WordScheme:
     """Windows of ``size`` consecutive words."""
 
-    bytes_per_unit = 4
+    limit = 2_000_000
 
     def __init__(self, size: int = 50) -> None:
         self.size = size

@@ -9,9 +9,10 @@ that those windows cover. So equal windows always lie in contexts of one key (fo
    passage in a third of all texts costs a row per task;
 3. only keys with differing contexts need their content. One copy of each such context is cut
    from its text and the scheme settles which windows are equal, many keys in a task. A key with
-   more than LIMIT bytes of differing contexts is settled by an aggregate over its windows.
+   more differing contexts than a task holds is settled by an aggregate over its windows.
 
-A scheme has ``size`` (of a window, in its units); ``bytes_per_unit``, for memory; ``contexts(texts)``,
+A scheme has ``size`` (of a window, in its units); ``limit`` (units of
+differing contexts of one key that a task settles); ``contexts(texts)``,
 which yields (text number, key, first window, windows, hash of the stretch); ``stretches(text,
 places)``, the stretches' bytes; ``windows(content)``, the bytes of each of its windows; and
 ``settle(contents, firsts)``, a flag for each window of each content.
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, kept, keyed, record, same_row
 
-#: Bytes of differing contexts of one key that a task settles at once.
-LIMIT = 1_500_000
 #: Keys are settled together up to so many bytes.
 CHUNK = 400_000
 #: Windows of a context; a longer run of one key is several contexts.
@@ -98,7 +97,7 @@ def repeated_ranges(docs: DataFrame, scheme, name: str, earlier_only: bool) -> D
     contexts = kept(found.groupBy(*same).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min(F.struct("doc_id", "th", "start")).alias("place")), f"{name}-distinct")
     mixed = contexts.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("windows") + size).alias("width"), F.min("first").alias("a"), F.max("first").alias("b"))
     mixed = mixed.filter("n > 1 and a < b" if earlier_only else "n > 1")
-    mixed = kept(mixed.select("key", (F.col("width") > LIMIT // scheme.bytes_per_unit).alias("hot")), f"{name}-mixed")
+    mixed = kept(mixed.select("key", (F.col("width") > scheme.limit).alias("hot")), f"{name}-mixed")
     asked = contexts.drop("n").join(mixed, "key")
     contents = kept(_contents(docs, asked, scheme), f"{name}-contents")
     settled = _settled(contents.filter(~F.col("hot")), scheme).unionByName(_settled_hot(contents.filter("hot"), scheme, earlier_only))

@@ -1,8 +1,8 @@
 """Token-ID output: ids of all documents in ascending doc_id order, range-coded in independent blocks.
 
-``write_token_files`` counts every token of the corpus, makes one frequency table of the counts,
-orders the documents by range partitions and codes each partition's ids in blocks of whole
-documents. ``read_token_files`` decodes the blocks in parallel. A file set is two Parquet
+``write_token_files`` orders the documents by range partitions, cuts each partition's ids into
+blocks of whole documents, counts every token of the corpus, makes one frequency table of the
+counts and codes the blocks with it. ``read_token_files`` decodes the blocks in parallel. A file set is two Parquet
 folders: ``table`` (id, frequency) and ``blocks`` (part, block, doc_ids, lengths, payload); the
 payload is the format of ``rans.py`` with its checkpoints and checksums.
 
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, keyed, record
+from .common import columns_of, kept, keyed, record
 from .rans import SCALE, Coder, frequencies
 from .wordpieces import wordpieces
 
@@ -28,62 +28,70 @@ from .wordpieces import wordpieces
 BLOCK_IDS = 1 << 18
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+RAW = "part int, block int, doc_ids array<long>, lengths array<long>, ids binary"
+BLOCKS = "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+
+
+def token_blocks(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """Blocks of whole documents in ascending doc_id order, ids as numpy integers of ``kind``."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
+
+    def cut(batches):
+        part, block, size, end = TaskContext.get().partitionId(), 0, 0, np.asarray([end_id], "<u4").tobytes()
+        coder, ids, held = wordpieces(path), [], []
+
+        def closed():
+            return record(schema, [[part], [block], [ids], [[len(x) // 4 for x in held]], [np.frombuffer(b"".join(held), "<u4").astype(kind).tobytes()]])
+
+        for batch in batches:
+            for doc_id, text in columns_of(batch, "doc_id", "text"):
+                held.append(coder.encode(text or "") + end)
+                ids.append(doc_id)
+                size += len(held[-1]) // 4
+                if size >= BLOCK_IDS:
+                    yield closed()
+                    ids, held, size, block = [], [], 0, block + 1
+        if ids:
+            yield closed()
+
+    ordered = keyed(docs).repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    return ordered.select("doc_id", "text").mapInArrow(cut, RAW)
+
+
+def token_counts(blocks: DataFrame, size: int, kind: str) -> DataFrame:
     """How often each id occurs in the whole corpus: id, n."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
-        coder = wordpieces(path)
-        total, held, size = np.zeros(max(coder.size, end_id + 1), np.int64), [], 0
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(coder.encode(text or ""))
-                size += len(held[-1])
-                total[end_id] += 1
-                if size > 1 << 24:
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(total))
-                    held, size = [], 0
-        total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(total))
+            for ids in batch.column("ids").to_pylist():
+                total += np.bincount(np.frombuffer(ids, kind), minlength=size)
         ids = np.flatnonzero(total)
         yield record(schema, [ids.astype(np.int32), total[ids]])
 
-    return docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     spark, size = docs.sparkSession, max(wordpieces(path).size, end_id + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    raw = kept(token_blocks(docs, path, end_id, kind), "token-blocks")
     counts = np.zeros(size, np.int64)
-    for row in token_counts(docs, path, end_id).toLocalIterator():  # a row per vocabulary entry at most
+    for row in token_counts(raw, size, kind).toLocalIterator():  # a row per vocabulary entry at most
         counts[row["id"]] = row["n"]
     freq = frequencies(counts)
     spark.createDataFrame(list(enumerate(freq.tolist())), "id int, frequency int").coalesce(1).write.parquet(f"{folder}/table")
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def encode(batches):
-        part, block, end = TaskContext.get().partitionId(), 0, np.asarray([end_id], "<u4").tobytes()
-        texts, coder = wordpieces(path), Coder(freq)
-        ids, held, lengths = [], [], []
-
-        def closed():
-            data = np.frombuffer(b"".join(held), "<u4")
-            return record(schema, [[part], [block], [len(data)], [ids], [lengths], [coder.encode(data)]])
-
-        size = 0
+        coder = Coder(freq)
         for batch in batches:
-            for doc_id, text in columns_of(batch, "doc_id", "text"):
-                held.append(texts.encode(text or "") + end)
-                ids.append(doc_id)
-                lengths.append(len(held[-1]) // 4)
-                size += lengths[-1]
-                if size >= BLOCK_IDS:
-                    yield closed()
-                    ids, held, lengths, size, block = [], [], [], 0, block + 1
-        if ids:
-            yield closed()
+            for part, block, doc_ids, lengths, ids in columns_of(batch, "part", "block", "doc_ids", "lengths", "ids"):
+                data = np.frombuffer(ids, kind)
+                yield record(schema, [[part], [block], [len(data)], [doc_ids], [lengths], [coder.encode(data)]])
 
-    ordered = keyed(docs).repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
-    blocks = ordered.select("doc_id", "text").mapInArrow(encode, "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary")
-    blocks.write.parquet(f"{folder}/blocks")
+    raw.mapInArrow(encode, BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +99,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/table").orderBy("id").collect()  # as long as the vocabulary
     freq = np.asarray([r["frequency"] for r in rows], np.int64)
     assert freq.sum() == 1 << SCALE
-    blocks = spark.read.schema("part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("part", "block", "n_ids").withColumn("within", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per partition of the writer

@@ -100,9 +100,8 @@ def test_difference_cover(spark, documents):
 
 
 def test_keys_with_much_content_are_settled_by_aggregates(spark, documents, monkeypatch):
-    from stockweave.llm import repeats
-
-    monkeypatch.setattr(repeats, "LIMIT", 300)
+    monkeypatch.setattr(difference_cover.ByteScheme, "limit", 300)
+    monkeypatch.setattr(recompression.WordScheme, "limit", 75)
     same(difference_cover.without_repeats(frame(spark, documents)).drop("kept"), brute_bytes(documents, 200))
     test_recompression(spark, documents)
 
