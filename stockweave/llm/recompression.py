@@ -4,8 +4,8 @@ A round names runs of one symbol, then pairs of neighbours: a hash splits the sy
 and right ones, and a left one followed by a right one becomes a new symbol. Names are hashes of
 what they replace, so every task gives equal runs and pairs the same global name without a table
 of names, and equal substrings carry the same symbols but for a few at each end. Per window the
-rounds keep which symbols depend on nothing outside the window; the least of those of the highest
-round that has any is the window's key. Windows with a shared symbol are then compared in full
+rounds keep which symbols depend on nothing outside the window; the least run of three of them, of
+the highest round that has one, is the window's key. Windows with a shared symbol are then compared in full
 (``repeats.py``).
 
 Defined results: null and empty texts have no words and stay as they are; a text of fewer words
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from .repeats import removals, runs
 
 ROUNDS = 3
+#: Neighbouring symbols that make a key; one alone is a phrase that recurs by chance.
+GRAM = 3
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -110,9 +112,12 @@ def window_keys(symbols: np.ndarray, first: np.ndarray, starts: np.ndarray, size
     keys, open_ = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
     for level in range(ROUNDS, -1, -1):
         symbols, low, high, live = levels[level]
-        own = open_ & live
+        own = open_ & live & (high - low >= GRAM)
         if own.any():
-            keys[own] = mix(least(mix(symbols ^ A), low[own], high[own]) + U(level))
+            gram = symbols ^ A
+            for k in range(1, GRAM):
+                gram = mix(gram[:-1] * A + symbols[k:])
+            keys[own] = mix(least(mix(gram), low[own], high[own] - GRAM + 1) + U(level))
             open_ &= ~own
     return keys
 
