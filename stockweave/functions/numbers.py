@@ -6,9 +6,13 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+
+
 def to_number(c: Column) -> Column:
-    """Double, or null when the text is not a number."""
-    return F.nanvl(F.trim(c.cast("string")).try_cast("double"), F.lit(None).cast("double"))
+    """Double, or null when the text is not a number. A type suffix, as in ``5d``, is not part of one."""
+    text = F.trim(c.cast("string"))
+    return F.nanvl(F.when(text.rlike(NUMBER), text.try_cast("double")), F.lit(None).cast("double"))
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

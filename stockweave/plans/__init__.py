@@ -1 +1,2 @@
-"""Analytic plans: each function takes and returns DataFrames and runs no action."""
+"""Analytic plans: each function takes and returns DataFrames. The Pareto, the batch view and the clean fact
+also write intermediates to the shared folder while they are planned; the model fits run jobs."""

@@ -66,15 +66,21 @@ def range_training_rows(sales: DataFrame, p: ForecastParams = ForecastParams())
     return ft.with_side(ft.model_rows(rows, numeric, ft.RANGE_TARGET, ft.RANGE_KEYS), p.train_fraction)
 
 
+def _bins(rows: DataFrame, categories: list[str]) -> int:
+    """Bins that hold the largest category, and the code of unseen values with it; 32 at least."""
+    counts = rows.agg(*[F.count_distinct(c).alias(c) for c in categories]).first()
+    return max(32, *(n + 2 for n in counts))
+
+
 def fit_sku_models(rows: DataFrame, p: ForecastParams = ForecastParams(), names=MODEL_NAMES) -> dict[str, PipelineModel]:
     """Fit the regressors on the TRAIN side; cache ``rows`` before when fitting several."""
     train = rows.filter("LADO = 'TRAIN'")
-    built = pipelines(ft.SKU_FEATURES, ft.SKU_TARGET, ft.SKU_CATEGORIES, p)
+    built = pipelines(ft.SKU_FEATURES, ft.SKU_TARGET, ft.SKU_CATEGORIES, p, _bins(rows, ft.SKU_CATEGORIES))
     return {n: built[n].fit(train) for n in names}
 
 
 def fit_range_model(rows: DataFrame, p: ForecastParams = ForecastParams()) -> PipelineModel:
-    stages = [*_inputs(ft.RANGE_FEATURES, ft.RANGE_CATEGORIES), boosting(ft.RANGE_TARGET, p, p.range_min_leaf)]
+    stages = [*_inputs(ft.RANGE_FEATURES, ft.RANGE_CATEGORIES), boosting(ft.RANGE_TARGET, p, p.range_min_leaf, _bins(rows, ft.RANGE_CATEGORIES))]
     return Pipeline(stages=stages).fit(rows.filter("LADO = 'TRAIN'"))
 
 

@@ -173,3 +173,11 @@ def test_bounds_of_the_filled_table_without_its_rows(spark):
     direct = outliers.price_bounds(gapfill.with_filled_inventory(df)).orderBy("TIPO_TRANSACCION").collect()
     short = outliers.price_bounds(gapfill.filled_prices(df), repeat="VECES").orderBy("TIPO_TRANSACCION").collect()
     assert direct == short and len(direct) == 2
+
+
+def test_to_number_takes_no_type_suffix(spark):
+    from stockweave.functions.numbers import to_number
+
+    texts = ["5d", "7F", " 5 ", "-1.5e3", ".5", "3.", "x", "", None, "0x1", "nan"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", to_number(F.col("t")).alias("v"))
+    assert [r["v"] for r in got.orderBy("i").collect()] == [None, None, 5.0, -1500.0, 0.5, 3.0, None, None, None, None, None]
