@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
-from ..functions import clean_text
+from ..functions import clean_text, to_number
 from ..operators import cleaning
 from ..plans import forecast as fc
 from ..plans import report
@@ -73,7 +73,7 @@ def _(t):
         part.write.option("header", True).option("sep", sep).option("quoteAll", True).csv(f"{folder}/{country}")
     paths = sources.find_files(t.spark, folder)
     # The writer names its files; the folder carries the country that a file name would.
-    loaded = sources.read_files(t.spark, paths, one_layout_per_folder=True)
+    loaded = sources.read_files(t.spark, paths)
     rows = cleaning.typed(loaded.drop("SOURCE_COUNTRY"))
     origin = (F.when(F.col("TIPO_TRANSACCION") == "SALES", "PARAGUAY").when(F.col("TIPO_TRANSACCION") == "INVENTORY", "NICARAGUA")
               .otherwise("PANAMA"))
@@ -81,6 +81,18 @@ def _(t):
         F.count("*").alias("N"), F.sum("VALUE").alias("UNIDADES"))
 
 
+@query("src_07_parquet_de_varias_cabeceras", COUNT_COLS, COUNTS.format("mv"))
+def _(t):
+    """Parquet files of two header spellings, units as number and as text."""
+    folder = _dir(t, "mixed")
+    rows = t.movements.select("PAIS", "TIPO_TRANSACCION", "VALUE")
+    rows.filter("TIPO_TRANSACCION = 'SALES'").write.parquet(f"{folder}/a")
+    rows.filter("TIPO_TRANSACCION <> 'SALES'").select(
+        F.col("PAIS").alias("Country"), F.col("TIPO_TRANSACCION").alias("Tipo de Transaccion"),
+        F.col("VALUE").cast("string").alias("Unidades")).write.parquet(f"{folder}/b")
+    return _counts(sources.load_movements(t.spark, folder).withColumn("VALUE", to_number(F.col("VALUE"))))
+
+
 @query("src_08_catalogos", "catalogo s, filas l", """
 SELECT 'devices' AS catalogo, count(*) AS filas FROM dev UNION ALL SELECT 'bodegas', count(*) FROM bod
 UNION ALL SELECT 'vacio', 0""")

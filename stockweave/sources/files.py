@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,21 +43,26 @@ def find_files(spark: SparkSession, folder: str, hints: Iterable[str] | None = N
     return [p for p in paths if any(h in PurePosixPath(p).stem.lower() for h in wanted)]
 
 
-def sniff_layout(spark: SparkSession, path: str) -> Layout | None:
-    """The first delimiter that splits the header line into more than one column."""
-    first = spark.read.option("encoding", "ISO-8859-1").text(path).limit(1).collect()
-    if not first:
-        return None
-    raw = first[0].value.encode("latin-1")
+def layout_of(line: bytes) -> Layout:
+    """The first delimiter that splits a header line into more than one column."""
     try:
-        line = raw.decode("utf-8-sig")
+        text = line.decode("utf-8-sig")
     except UnicodeDecodeError:
-        line = raw.decode("latin-1")
+        text = line.decode("latin-1")
     for delimiter in DELIMITERS:
-        names = next(csv.reader([line], delimiter=delimiter))
+        names = next(csv.reader([text], delimiter=delimiter))
         if len(names) > 1:
             return Layout(delimiter, tuple(names))
-    return Layout(",", (line,))
+    return Layout(",", (text,))
+
+
+def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and first line (bytes) of every file that has a line, by one scan of the files' first blocks."""
+    lines = spark.read.text(paths).select(
+        _decoded_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("_at"),
+        F.col("value").cast("binary").alias("line"))
+    rows = lines.filter("_at = 0").withColumn("_n", F.monotonically_increasing_id())
+    return rows.groupBy("path").agg(F.min_by("line", "_n").alias("line"))
 
 
 def decoded(c: Column) -> Column:
@@ -65,9 +71,13 @@ def decoded(c: Column) -> Column:
     return F.when(F.is_valid_utf8(raw), raw).otherwise(c)
 
 
+def _decoded_path(c: Column) -> Column:
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def _with_source(df: DataFrame) -> DataFrame:
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.withColumn("SOURCE_FILE", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).withColumn(
+    return df.withColumn("SOURCE_FILE", _decoded_path(name)).withColumn(
         "SOURCE_COUNTRY", country_from_file(F.col("SOURCE_FILE")))
 
 
@@ -95,34 +105,45 @@ def read_delimited(spark: SparkSession, paths: list[str], layout: Layout) -> Dat
     return _named(text, names, layout.header, [BEYOND, *SOURCE])
 
 
-def read_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Parquet files as text columns with their source; damaged files are skipped."""
-    rows = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(*paths)
-    names = rows.columns
-    place = [f"c{i}" for i in range(len(names))]
-    rows = _with_source(rows.select(*[F.col(f"`{n}`").cast("string").alias(c) for n, c in zip(names, place)], "_metadata"))
-    return _named(rows.select(*place, *SOURCE), place, names, SOURCE)
+def parquet_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """Column names and types from a file's footer; None if the file is damaged."""
+    try:
+        return spark.read.option("ignoreCorruptFiles", True).parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return None
+
+
+def read_parquet(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """Parquet files of one schema as text columns with their source; damaged files are skipped."""
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*paths)
+    place = [f"c{i}" for i in range(len(schema.names))]
+    rows = _with_source(rows.select(*[F.col(f"`{n}`").cast("string").alias(c) for n, c in zip(schema.names, place)], "_metadata"))
+    return _named(rows.select(*place, *SOURCE), place, schema.names, SOURCE)
 
 
-def read_files(spark: SparkSession, paths: list[str], one_layout_per_folder: bool = False) -> DataFrame | None:
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """Any mix of files as one table of text columns, or None without files.
 
-    Files are read in groups of equal layout, one scan per layout. With
-    ``one_layout_per_folder`` only one header per folder is looked at, for folders of many
-    files written by one producer.
+    Files are read in groups of equal layout, one scan per layout: delimiter and header of a
+    delimited file, names and types of a Parquet file. Names are made canonical group by group,
+    so spellings and types may differ between files.
     """
     delimited = [p for p in paths if p.lower().endswith(".csv")]
     columnar = [p for p in paths if p.lower().endswith(".parquet")]
-    samples: dict[str, list[str]] = defaultdict(list)
-    for p in delimited:
-        samples[str(PurePosixPath(p).parent) if one_layout_per_folder else p].append(p)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        layouts = list(pool.map(lambda group: sniff_layout(spark, group[0]), samples.values()))
-    groups: dict[Layout, list[str]] = defaultdict(list)
-    for layout, group in zip(layouts, samples.values()):
-        if layout is not None:
-            groups[layout].extend(group)
-    frames = [read_delimited(spark, group, layout) for layout, group in groups.items()]
+    frames = []
+    if delimited:
+        groups: dict[Layout, list[str]] = defaultdict(list)
+        for row in header_lines(spark, delimited).collect():  # a row per file, as in ``paths``
+            groups[layout_of(bytes(row.line))].append(row.path)
+        frames += [read_delimited(spark, sorted(group), layout) for layout, group in sorted(groups.items(), key=lambda g: min(g[1]))]
     if columnar:
-        frames.append(read_parquet(spark, columnar))
+        with ThreadPoolExecutor(max_workers=16) as pool:
+            schemas = list(pool.map(lambda p: parquet_schema(spark, p), columnar))
+        alike: dict[str, tuple[T.StructType, list[str]]] = {}
+        for path, schema in zip(columnar, schemas):
+            if schema is not None:
+                alike.setdefault(schema.simpleString(), (schema, []))[1].append(path)
+        frames += [read_parquet(spark, group, schema) for schema, group in alike.values()]
     return stack_frames(frames) if frames else None

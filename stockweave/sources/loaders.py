@@ -12,9 +12,9 @@ from ..schemas import (
 from .files import BEYOND, find_files, read_files
 
 
-def load_movements(spark: SparkSession, folder: str, one_layout_per_folder: bool = False) -> DataFrame:
+def load_movements(spark: SparkSession, folder: str) -> DataFrame:
     """Raw movements of every file under a folder; lines that do not fit their header are left out."""
-    df = read_files(spark, find_files(spark, folder), one_layout_per_folder)
+    df = read_files(spark, find_files(spark, folder))
     if df is None:
         raise FileNotFoundError(f"no movement files under {folder}")
     return with_missing(_accepted(df), MOVEMENT_COLUMNS)

@@ -28,6 +28,27 @@ def test_mixed_encodings_layouts_and_parquet(spark, tmp_path):
     assert {(r.CODIGO_SKU, r.MARCA) for r in df.collect()} == {("1", "Ñandú"), ("2", "Ñandú"), ("3", "Ñandú")}
 
 
+def test_parquet_of_different_headers_types_and_damage(spark, tmp_path):
+    def put(name, row, schema):
+        spark.createDataFrame([row], schema).toPandas().to_parquet(tmp_path / name)
+
+    put("a_PY.parquet", ("PY", "1", 2.0), "PAIS string, SKU string, VALUE double")
+    put("b_PY.parquet", ("PY", "2", 3), "Country string, CODIGO_SKU string, Unidades long")
+    put("c_PY.parquet", ("PY", 3, "4"), "PAIS string, SKU long, VALUE string")
+    (tmp_path / "d_PY.parquet").write_bytes(b"no such format")
+    got = sources.load_movements(spark, str(tmp_path)).select("PAIS", "CODIGO_SKU", "VALUE", "SOURCE_FILE").collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("PY", "1", "2.0", "a_PY.parquet"), ("PY", "2", "3", "b_PY.parquet"), ("PY", "3", "4", "c_PY.parquet")]
+
+
+def test_headers_of_one_folder_may_differ(spark, tmp_path):
+    (tmp_path / "a b+c.csv").write_text("PAIS;SKU\nPY;1\n")
+    (tmp_path / "b.csv").write_text("SKU;PAIS\n2;PY\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = sources.load_movements(spark, str(tmp_path)).select("PAIS", "CODIGO_SKU", "SOURCE_FILE").collect()
+    assert sorted(tuple(r) for r in got) == [("PY", "1", "a b+c.csv"), ("PY", "2", "b.csv")]
+
+
 def test_lines_that_do_not_fit_are_set_aside(spark, tmp_path):
     (tmp_path / "x.csv").write_text('PAIS,SKU,VALUE\nPY,"a,b",1\nPY,2\nPY,3,4,5\n')
     rows = sources.load_movements(spark, str(tmp_path))
