@@ -3,26 +3,46 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Mapping
 
 from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sinks, sources
+from .functions.text import normal_text
+from .operators import cleaning
 from .plans import features, forecast, profile, report
 from .plans.clean_fact import clean_fact
 from .plans.sales import prepared_sales, prepared_stock
-from .schemas import CleaningParams, ForecastParams, StreamParams
+from .schemas import FILE_COUNTRIES, CleaningParams, ForecastParams, StreamParams
 from .session import build_session
 from .streaming import events as ev
 from .streaming import fold
 from .streaming.run import StreamJob
 
 
-def clean(spark: SparkSession, raw: str, catalogues: str, out: str, params: CleaningParams = CleaningParams()) -> None:
-    """Raw files to the clean fact and the quality report."""
+def _one_country_form(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Country codes of a catalogue in the form that the fact has them."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return df.withColumn("PAIS", F.coalesce(F.try_element_at(known, normal_text(F.col("PAIS"))), F.col("PAIS")))
+
+
+def clean(
+    spark: SparkSession, raw: str, catalogues: str, out: str, params: CleaningParams = CleaningParams(),
+    country_names: Mapping[str, str] = FILE_COUNTRIES,
+) -> None:
+    """Raw files to the clean fact, the lines that do not fit their header, and the quality report.
+
+    ``country_names`` maps country codes to the names that file names give; {} keeps codes as they are.
+    """
     movements = sources.load_movements(spark, raw)
     devices, warehouses = sources.load_devices(spark, catalogues), sources.load_warehouses(spark, catalogues)
-    sinks.write_fact(clean_fact(movements, devices, warehouses, params), f"{out}/datos_limpios")
+    if country_names:
+        devices, warehouses = _one_country_form(devices, country_names), _one_country_form(warehouses, country_names)
+    sinks.write_fact(clean_fact(movements, devices, warehouses, params, country_names=country_names), f"{out}/datos_limpios")
+    sinks.write_tables({"lineas_rechazadas": sources.rejected_lines(spark, raw)}, out, "parquet")
+    rejected = spark.read.parquet(f"{out}/lineas_rechazadas")
     fact = sources.load_fact(spark, f"{out}/datos_limpios")
     from .operators.enrich import device_catalogue, match_rates, warehouse_catalogue
 
@@ -32,6 +52,8 @@ def clean(spark: SparkSession, raw: str, catalogues: str, out: str, params: Clea
         "por_pais": profile.value_counts(fact, "PAIS", "SIN_PAIS"),
         "por_tipo": profile.value_counts(fact, "TIPO_TRANSACCION", "SIN_TIPO"),
         "match_catalogos": match_rates(fact),
+        "filas_por_paso": cleaning.step_counts(cleaning.typed(movements, country_names), params),
+        "lineas_rechazadas": rejected.groupBy("SOURCE_FILE").agg(F.count("*").alias("LINEAS")),
     }, f"{out}/reporte_calidad")
 
 
@@ -76,9 +98,12 @@ def train(spark: SparkSession, fact_folder: str, out: str, params: ForecastParam
 
 def stream(
     spark: SparkSession, topic: str, fact_folder: str | None, models: str | None, out: str, checkpoint: str,
-    every: str | None = None, files_per_batch: int = 1, params: StreamParams = StreamParams(),
+    every: str | None = None, files_per_batch: int = 1, params: StreamParams = StreamParams(), delay: str | None = None,
 ) -> None:
-    """JSON-line events to window KPIs, alerts, forecasts and orders."""
+    """JSON-line events to window KPIs, alerts, forecasts and orders; lines that are no event to a table of their own.
+
+    Without ``delay`` no late event is lost; see ``streaming.events.once``.
+    """
     initial = None
     if fact_folder:
         latest = forecast.latest_positions(sources.load_fact(spark, fact_folder, "INVENTORY", [
@@ -89,7 +114,13 @@ def stream(
     model = forecast.load_model(f"{models}/model_boosting") if models else None
     job = StreamJob(spark, out, params, initial, model)
     lines = ev.line_stream(spark, topic, files_per_batch)
-    job.start(ev.once(ev.valid_events(lines)), checkpoint, every).awaitTermination()
+    main = job.start(ev.once(ev.valid_events(lines), delay), checkpoint, every)
+    bad = ev.quarantined(lines).writeStream.format("parquet").option("path", f"{out}/lineas_rechazadas").option(
+        "checkpointLocation", f"{checkpoint}-rechazadas")
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    rejected = bad.trigger(**trigger).start()
+    main.awaitTermination()
+    rejected.awaitTermination()
 
 
 def main() -> None:
@@ -113,6 +144,7 @@ def main() -> None:
     s.add_argument("--fact")
     s.add_argument("--models")
     s.add_argument("--every")
+    s.add_argument("--delay", help="forget event ids after this time and drop later events, as in '60 days'")
     a = parser.parse_args()
     spark = build_session(f"stockweave-{a.job}")
     if a.job == "clean":
@@ -122,7 +154,7 @@ def main() -> None:
     elif a.job == "train":
         train(spark, a.fact, a.out)
     else:
-        stream(spark, a.topic, a.fact, a.models, a.out, a.checkpoint, a.every)
+        stream(spark, a.topic, a.fact, a.models, a.out, a.checkpoint, a.every, delay=a.delay)
 
 
 if __name__ == "__main__":

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ranking
 from ..plans import features as ft
 from ..plans import forecast as fc
 from ..schemas import ForecastParams
@@ -265,10 +264,13 @@ def _(t):
 
 
 @query("ord_07_candidatos", "CODIGO_SKU s, PAIS s, UNIDADES d2", """
-SELECT CODIGO_SKU, PAIS, sum(VALUE) AS UNIDADES FROM sales WHERE ESTADO <> 'EOL' GROUP BY ALL
-ORDER BY UNIDADES DESC, PAIS, CODIGO_SKU LIMIT 20""")
+SELECT CODIGO_SKU, PAIS, UNIDADES FROM (
+  SELECT CODIGO_SKU, PAIS, max(ESTADO) AS ESTADO, sum(VALUE) AS UNIDADES FROM sales GROUP BY CODIGO_SKU, PAIS
+  ORDER BY UNIDADES DESC, PAIS, CODIGO_SKU LIMIT 20) WHERE ESTADO <> 'EOL'""")
 def _(t):
-    from ..operators.cleaning import not_muted
+    from ..streaming.scoring import candidates
 
-    totals = t.sales.filter(not_muted(F.col("ESTADO"))).groupBy("CODIGO_SKU", "PAIS").agg(F.sum("VALUE").alias("UNIDADES"))
-    return ranking.top_rows(totals, [F.desc("UNIDADES"), F.asc("PAIS"), F.asc("CODIGO_SKU")], 20)
+    kpi = t.sales.groupBy(F.col("CODIGO_SKU").alias("codigo_sku"), F.col("PAIS").alias("pais")).agg(
+        F.sum("VALUE").alias("ventas_acum"), F.max("ESTADO").alias("estado"))
+    return candidates(kpi).select(
+        F.col("codigo_sku").alias("CODIGO_SKU"), F.col("pais").alias("PAIS"), F.col("ventas_acum").alias("UNIDADES"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import safe_ratio
 from ..operators import cleaning
 from ..operators.enrich import device_catalogue, enriched, warehouse_catalogue
 from ..plans import profile
@@ -93,9 +94,11 @@ def _(t):
 
 
 @query("prf_07_costo_cero_tipo", "TIPO_TRANSACCION s, N l", """
-SELECT TIPO_TRANSACCION, count(*) AS N FROM typed WHERE VALUE = 0 GROUP BY 1""")
+SELECT TIPO_TRANSACCION, count(*) FILTER (COSTO / nullif(VALUE, 0) = 0) AS N FROM typed GROUP BY 1""")
 def _(t):
-    return cleaning.typed(t.raw).filter("VALUE = 0").groupBy("TIPO_TRANSACCION").agg(F.count("*").alias("N"))
+    """Rows of price zero per type, types without such a row included."""
+    price = safe_ratio(F.col("COSTO"), F.col("VALUE"))
+    return cleaning.typed(t.raw).groupBy("TIPO_TRANSACCION").agg(F.count_if(price == 0).alias("N"))
 
 
 @query("prf_08_histograma_costo", "BIN l, DESDE d6, HASTA d6, REGISTROS l", """

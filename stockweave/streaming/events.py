@@ -48,9 +48,13 @@ def quarantined(lines: DataFrame) -> DataFrame:
     return parsed(lines).filter(~F.col("VALIDO")).select("linea")
 
 
-def once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of an event id; on a stream within the watermark delay."""
-    if events.isStreaming:
+def once(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Drop repeats of an event id.
+
+    A stream remembers every id, in the state store on disk, and so keeps late events. With
+    ``delay`` it forgets ids after that time and drops events that come later than that.
+    """
+    if events.isStreaming and delay:
         return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["evento_id"])
     return events.dropDuplicates(["evento_id"])
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave import sources
+from stockweave import jobs, sources
 from stockweave.functions import clean_text, country_from_file
 from stockweave.operators.cleaning import typed
 from stockweave.operators.columns import canonical_columns, canonical_name, require_columns
@@ -108,3 +108,18 @@ def test_country_codes_and_names_meet(spark):
     df = spark.createDataFrame([(None, "PARAGUAY"), ("py", None)], "PAIS string, SOURCE_COUNTRY string")
     got = typed(df, {"PY": "PARAGUAY"}).select("PAIS").collect()
     assert [r[0] for r in got] == ["PARAGUAY", "PARAGUAY"]
+
+
+def test_clean_job_writes_rejects_and_steps(spark, tmp_path):
+    raw, cat, out = tmp_path / "raw", tmp_path / "cat", str(tmp_path / "out")
+    raw.mkdir()
+    cat.mkdir()
+    head = "PAIS,FECHA,TIPO_TRANSACCION,SKU,Bodega,Unidades,Cost\n"
+    (raw / "x_PY.csv").write_text(head + "PY,20240105,SALES,A1,B1,3,30.5\n,20240106,SALES,A1,B1,0,30.5\nPY,20240106,SALES,A1,B1,1,9,9\n,20240107,SALES,A1,B1,2,20\n")
+    (cat / "Devices_PY.csv").write_text("PAIS,COD_SKU,FAMILY,BRAND\nPY,A1,PHONE,ACME\n")
+    jobs.clean(spark, str(raw), str(cat), out)
+    fact = sources.load_fact(spark, f"{out}/datos_limpios").collect()
+    assert sorted((r.PAIS, r.VALUE, r.MARCA) for r in fact) == [("PARAGUAY", 2.0, "ACME"), ("PARAGUAY", 3.0, "ACME")]
+    assert spark.read.parquet(f"{out}/lineas_rechazadas").count() == 1
+    steps = {r.PASO: r.FILAS for r in spark.read.option("header", True).csv(f"{out}/reporte_calidad/filas_por_paso").collect()}
+    assert steps["nulos_ceros"] == "1" and steps["restantes"] == "2"

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -111,6 +112,25 @@ def run_accounts(spark, folder, out, check):
     return rows.groupBy("pais", "codigo_sku").agg(F.max_by(F.struct(*fields), "lote").alias("s")).select("pais", "codigo_sku", "s.*")
 
 
+def test_late_events_are_kept_unless_a_delay_is_set(spark, tmp_path):
+    topic = tmp_path / "topic"
+    new, late = random_events(2, 3), random_events(1, 4)
+    for i, e in enumerate([*new, *late]):
+        e |= {"evento_id": f"e{i}", "timestamp": datetime(2024, 3, 1 if i == 2 else 20 + i)}
+    for i, part in enumerate(([new[0]], [new[1]], late, [new[0]])):
+        write_lines(topic, f"{i}.jsonl", part)
+        os.utime(topic / f"{i}.jsonl", (1_700_000_000 + i,) * 2)
+
+    def ids(delay, name):
+        stream = ev.once(ev.valid_events(ev.line_stream(spark, str(topic))), delay)
+        stream.select("evento_id").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-check")).option(
+            "path", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r[0] for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    assert ids(None, "all") == ["e0", "e1", "e2"]
+    assert ids("1 hour", "bounded") == ["e0", "e1"]
+
+
 def test_stream_state_survives_restart_bad_lines_and_repeats(spark, tmp_path):
     events = random_events(120, 11)
     topic, out, check = tmp_path / "topic", tmp_path / "out", tmp_path / "check"
