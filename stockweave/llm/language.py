@@ -40,7 +40,8 @@ def learn_dictionaries(docs: DataFrame, learns: Column) -> list[tuple[str, bytes
     order = Window.partitionBy("lang").orderBy(F.col("size") > SHORT, "h", "doc_id", "size")
     chosen = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= ROWS).select("doc_id", "lang", "k")
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # ROWS per language
-    rows = texts.select("lang", "k", "text").orderBy("lang", "k").toLocalIterator()
+    part = F.substring("text", 1, DICTIONARY).alias("text")  # no more of a text fits in a dictionary
+    rows = texts.select("lang", "k", part).orderBy("lang", "k").toLocalIterator()
     out: dict[str, bytes] = {}
     for r in rows:
         if len(out.get(r["lang"], b"")) < DICTIONARY:
