@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,29 @@ def altered(text: str, span: Span) -> tuple[str, Span]:
     return text[max(0, a - 40) : a] + s + text[b : b + 40], (kind, min(a, 40), min(a, 40) + len(s))
 
 
+class Covered:
+    """Stretches of a text, without overlaps and in order."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, span: Span) -> bool:
+        k = bisect_right(self.ends, span[1])
+        return k < len(self.ends) and self.starts[k] < span[2]
+
+    def add(self, span: Span) -> None:
+        """``span`` meets no stretch."""
+        insort(self.starts, span[1])
+        insort(self.ends, span[2])
+
+
 def fit_spans(docs: DataFrame) -> Calibrated:
     rich = docs.filter(F.col("text").rlike("[@+][0-9A-Za-z]|[0-9]{4}| at "))
     chosen = rich.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).orderBy(F.xxhash64("_id", "_th")).limit(SAMPLE).distinct()
@@ -129,9 +153,10 @@ def fit_spans(docs: DataFrame) -> Calibrated:
             rows: list[tuple] = []
             for doc_id, text in columns_of(batch, "doc_id", "text"):
                 base = base_spans(text)
+                ruled = Covered(base)
                 rows += [(doc_id, 1, span_features(text, s)) for s in base]
                 rows += [(doc_id, 1, span_features(*altered(text, s))) for s in base]
-                rows += [(doc_id, 0, span_features(text, s)) for s in proposals(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+                rows += [(doc_id, 0, span_features(text, s)) for s in proposals(text) if not ruled.meets(s)]
             yield record(schema, list(zip(*rows, strict=True)) or [[], [], []])
 
     rows = texts.mapInArrow(measured, "k long, y int, x array<double>").orderBy(F.xxhash64("k", "x"), "k", "x").limit(PROPOSALS).collect()  # bounded
@@ -145,13 +170,14 @@ def all_spans(text: str, model: Calibrated) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     order = {k: i for i, k in enumerate(KINDS)}
     by_place = lambda s: (order[s[0]], s[1], s[2])
-    taken = list(base)
-    more = [s for s in proposals(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+    taken, covered = list(base), Covered(base)
+    more = [s for s in proposals(text) if not covered.meets(s)]
     if more:
         score = model.score(np.array([span_features(text, s) for s in more], np.float64))
         for k in np.argsort(-score, kind="stable").tolist():
-            if score[k] >= THRESHOLD and not any(a < more[k][2] and more[k][1] < b for _, a, b in taken):
+            if score[k] >= THRESHOLD and not covered.meets(more[k]):
                 taken.append(more[k])
+                covered.add(more[k])
     return sorted(base, key=by_place), sorted(taken, key=by_place)
 
 
