@@ -5,6 +5,7 @@ largest inner product into the least distance. Every vector's distances to the p
 computed once. For a query, the largest difference between its own distances and a vector's is a
 lower bound on theirs; vectors are scored in the order of this bound until it exceeds the k-th
 best distance so far. That best starts from a bounded sample, which holds for all blocks.
+A task meets one block of vectors with one block of queries, so neither side grows with the data.
 
 Defined results: a null vector, or one with a null, NaN or infinite component, takes no part;
 shorter vectors count as ended by zeros; an empty vector scores 0; copies are kept apart by
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import record
 
 PIVOTS, SAMPLE, CELLS = 32, 2048, 8
-#: Vectors of a block.
-BLOCK = 16_384
+#: Vectors of a block, queries of a block.
+BLOCK, ASKED = 16_384, 4096
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -92,10 +93,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
             yield record(row, [batch.column("vec_id"), v.tolist(), d[:, : len(cells)].argmin(1), d.tolist()])
 
     placed = data.mapInArrow(table, "vec_id long, v array<long>, cell int, to_pivots array<double>")
+    chosen = data.filter(F.col("vec_id").isNotNull() & is_query)
+    groups = max(1, -(-chosen.agg(F.count_distinct("vec_id")).first()[0] // ASKED))
     counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
     parts = {c: -(-n // BLOCK) for c, n in counts.items()}
     salts = F.coalesce(*[F.when(F.col("cell") == c, F.lit(n)) for c, n in parts.items()])
     placed = placed.withColumn("part", F.floor(F.rand(11) * salts).cast("int"))
+    placed = placed.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     # a query starts with the k-th best score within the sample, and goes to every block
     ask = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.int64())), ("floor", pa.int64())])
 
@@ -108,9 +112,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
                 least = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(ids), np.iinfo(np.int64).min)
                 yield record(ask, [ids, q.tolist(), least])
 
-    queries = data.filter(F.col("vec_id").isNotNull() & is_query).dropDuplicates(["vec_id"]).mapInArrow(seeded, "query_id long, q array<long>, floor long")
+    queries = chosen.dropDuplicates(["vec_id"]).mapInArrow(seeded, "query_id long, q array<long>, floor long")
     asked = queries.withColumn("block", F.explode(F.array(*[F.struct(F.lit(int(c)).alias("cell"), F.sequence(F.lit(0), F.lit(n - 1)).alias("parts")) for c, n in parts.items()])))
-    asked = asked.select("query_id", "q", "floor", F.col("block.cell").alias("cell"), F.explode("block.parts").alias("part"))
+    own_group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("asked")
+    asked = asked.select("query_id", "q", "floor", own_group, F.col("block.cell").alias("cell"), F.explode("block.parts").alias("part"))
     hit = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -143,7 +148,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
                 out[2] += best_s.tolist()
         return pa.Table.from_batches([record(hit, out)])
 
-    found = asked.groupBy("cell", "part").cogroup(placed.groupBy("cell", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
+    found = asked.groupBy("cell", "part", "asked").cogroup(placed.groupBy("cell", "part", "asked")).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -332,7 +332,20 @@ def test_proximity(spark):
     assert sorted((r["doc_id"], r["start"]) for r in got.collect()) == [(1, 0), (2, 0)]
 
 
-def test_pivots(spark):
+def test_covered_equals_comparing_all():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        spans = [("ip", int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 8), rng.integers(1, 9, 8), strict=True)]
+        covered, taken = pii.Covered(spans[:3]), spans[:3]
+        for s in spans[3:]:
+            meets = any(a < s[2] and s[1] < b for _, a, b in taken)
+            assert covered.meets(s) == meets
+            if not meets:
+                covered.add(s)
+                taken.append(s)
+
+
+def test_pivots(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(400)]
     rows += [(400 + i, rows[7][1]) for i in range(30)] + [(500, None), (600, [float("nan")] * 8), (601, [float("inf")] + [0.0] * 7), (602, [None, 1.0]), (700, []), (800, [0.5, 0.5]), (None, rows[7][1])]
@@ -350,6 +363,9 @@ def test_pivots(spark):
     from pyspark.sql import functions as F
 
     same(pivots.top_k(table, F.col("vec_id") % 100 == 0), want)
+    monkeypatch.setattr(pivots, "BLOCK", 50)
+    monkeypatch.setattr(pivots, "ASKED", 2)
+    same(pivots.top_k(table, F.col("vec_id") % 100 == 0), want)
 
 
 def test_language_and_toxicity_held_out(spark):
