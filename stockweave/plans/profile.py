@@ -100,6 +100,21 @@ def describe(df: DataFrame, column: str, groups: list[str], probs: dict[str, flo
     return base.withColumn("_q", point).select(*base.columns, "_q.*")
 
 
+def describe_numbers(df: DataFrame, columns: list[str], probs: dict[str, float] | None = None) -> DataFrame:
+    """``describe`` of several columns at once, a row for each, named in COLUMNA."""
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "COLUMNA", "VALOR")
+    return describe(values, "VALOR", ["COLUMNA"], probs or {"P25": 0.25, "P50": 0.5, "P75": 0.75})
+
+
+def describe_texts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Values, different values, and the most frequent one (of equals the least) with its count, per column."""
+    values = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "COLUMNA", "VALOR")
+    counts = values.groupBy("COLUMNA", "VALOR").agg(F.count("VALOR").alias("n"))
+    top = F.min_by(F.struct("VALOR", "n"), F.when(F.col("VALOR").isNotNull(), F.struct(-F.col("n"), "VALOR")))
+    out = counts.groupBy("COLUMNA").agg(F.sum("n").alias("N"), F.count("VALOR").alias("UNICOS"), top.alias("t"))
+    return out.select("COLUMNA", "N", "UNICOS", F.col("t.VALOR").alias("TOPE"), F.col("t.n").alias("FRECUENCIA"))
+
+
 def box_plot(df: DataFrame, column: str, groups: list[str], factor: float = 1.5) -> DataFrame:
     """Quartiles and whiskers: the extreme values within ``factor`` spreads of the box."""
     q = exact_quantiles(df, groups, column, {"Q1": 0.25, "MEDIANA": 0.5, "Q3": 0.75})

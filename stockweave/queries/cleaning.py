@@ -246,6 +246,67 @@ def _(t):
         exact_mean(F.col("PRECIO_UNITARIO")).alias("PRECIO"), F.count_if("ES_OUTLIER").alias("OUTLIERS"))
 
 
+SERIES_FACT = """
+sdated AS (
+  SELECT d.* REPLACE (upper(p_brand || '/' || p_type) AS CODIGO_SKU, SOURCE_COUNTRY AS CODIGO_BODEGA)
+  FROM dated d JOIN part ON d.CODIGO_SKU = CAST(p_partkey AS VARCHAR)
+),
+sclean AS (
+  SELECT PAIS, FECHA_VENTA_INVENTARIO, TIPO_TRANSACCION, CODIGO_SKU, CODIGO_BODEGA, VALUE, COSTO,
+    min(PRECIO_UNITARIO) AS PRECIO_UNITARIO, min(FECHA) AS FECHA FROM sdated
+  GROUP BY PAIS, FECHA_VENTA_INVENTARIO, TIPO_TRANSACCION, CODIGO_SKU, CODIGO_BODEGA, VALUE, COSTO
+),
+sinv AS (SELECT * FROM sclean WHERE TIPO_TRANSACCION = 'INVENTORY'),
+sday AS (SELECT PAIS, CODIGO_SKU, CODIGO_BODEGA, FECHA, sum(VALUE) AS VALUE FROM sinv GROUP BY ALL),
+sref AS (
+  SELECT PAIS, CODIGO_SKU, CODIGO_BODEGA, first(PRECIO_UNITARIO ORDER BY FECHA, COSTO, PRECIO_UNITARIO) AS PRECIO
+  FROM sinv GROUP BY ALL
+),
+sgrid AS (
+  SELECT r.*, CAST(d AS DATE) AS FECHA
+  FROM sref r, (SELECT unnest(generate_series(min(FECHA), max(FECHA), INTERVAL 1 DAY)) AS d FROM sday)
+),
+sfull AS (
+  SELECT PAIS, TIPO_TRANSACCION, CODIGO_SKU, VALUE, PRECIO_UNITARIO FROM sclean WHERE TIPO_TRANSACCION <> 'INVENTORY'
+  UNION ALL
+  SELECT g.PAIS, 'INVENTORY', g.CODIGO_SKU, trunc(coalesce(last_value(v.VALUE IGNORE NULLS) OVER (
+    PARTITION BY g.PAIS, g.CODIGO_SKU, g.CODIGO_BODEGA ORDER BY g.FECHA ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)), g.PRECIO
+  FROM sgrid g LEFT JOIN sday v ON g.PAIS = v.PAIS AND g.CODIGO_SKU = v.CODIGO_SKU AND g.CODIGO_BODEGA = v.CODIGO_BODEGA
+    AND g.FECHA = v.FECHA
+),
+siqr AS (
+  SELECT TIPO_TRANSACCION, greatest(q1 - 1.5 * (q3 - q1), 0) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
+    SELECT TIPO_TRANSACCION, quantile_cont(PRECIO_UNITARIO, 0.25) AS q1, quantile_cont(PRECIO_UNITARIO, 0.75) AS q3
+    FROM sfull GROUP BY 1 HAVING count(PRECIO_UNITARIO) >= 5) WHERE q3 > q1
+),
+sdev AS (SELECT DISTINCT r_name AS PAIS, upper(p_brand || '/' || p_type) AS CODIGO_SKU, upper(p_brand) AS MARCA FROM part CROSS JOIN region)"""
+
+
+def _series_raw(t):
+    """Raw movements keyed by brand/type, one warehouse per country."""
+    kinds = t.read("part").select(
+        F.col("p_partkey").cast("string").alias("CODIGO_SKU"), F.concat_ws("/", "p_brand", "p_type").alias("_kind"))
+    rows = t.raw.join(kinds, "CODIGO_SKU").withColumns({"CODIGO_SKU": F.col("_kind"), "CODIGO_BODEGA": F.col("SOURCE_COUNTRY")})
+    return rows.drop("_kind")
+
+
+@query("hecho_limpio_con_relleno", "PAIS s, TIPO_TRANSACCION s, MARCA s, N l, UNIDADES d2, PRECIO d4, OUTLIERS l", """
+SELECT PAIS, TIPO_TRANSACCION, MARCA, count(*) AS N, sum(VALUE) AS UNIDADES, exact_avg(P) AS PRECIO, count(*) FILTER (O) AS OUTLIERS
+FROM (SELECT f.*, CASE WHEN hi IS NULL THEN PRECIO_UNITARIO ELSE least(greatest(PRECIO_UNITARIO, lo), hi) END AS P,
+        coalesce(PRECIO_UNITARIO < lo OR PRECIO_UNITARIO > hi, FALSE) AS O
+      FROM sfull f LEFT JOIN siqr i USING (TIPO_TRANSACCION)) c
+LEFT JOIN sdev USING (PAIS, CODIGO_SKU) GROUP BY PAIS, TIPO_TRANSACCION, MARCA""", SERIES_FACT)
+def _(t):
+    """The clean job's whole plan, gap fill and bounds over the filled prices included."""
+    from ..functions import exact_mean
+
+    kinds = t.devices.select("Country", F.concat_ws("/", "Brand", "Family").alias("COD SKU"), "Brand").distinct()
+    fact = clean_fact(_series_raw(t), kinds, None, PARAMS)
+    return fact.groupBy("PAIS", "TIPO_TRANSACCION", "MARCA").agg(
+        F.count("*").alias("N"), F.sum("VALUE").alias("UNIDADES"),
+        exact_mean(F.col("PRECIO_UNITARIO")).alias("PRECIO"), F.count_if("ES_OUTLIER").alias("OUTLIERS"))
+
+
 @query("prj_01_08_09_columnas", "PAIS s, N l, SIN_CANAL l", """
 SELECT PAIS, count(*) AS N, count(*) AS SIN_CANAL FROM dev GROUP BY PAIS""")
 def _(t):

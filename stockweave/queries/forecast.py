@@ -9,8 +9,8 @@ from ..plans import forecast as fc
 from ..schemas import ForecastParams
 from .base import query
 
-# Small models keep the registered runs short; the defaults are the full sizes.
-SMALL = ForecastParams(forest_trees=20, forest_depth=8, boost_rounds=10, boost_depth=5)
+# Boosting runs its rounds one after another, so the registered runs have few; forests have the full size.
+SMALL = ForecastParams(boost_rounds=10, boost_depth=5)
 
 
 def _ser_sales(t):
@@ -53,10 +53,18 @@ wg AS (
   FROM sales GROUP BY ALL
 ),
 gfeat AS (
-  SELECT *, lag(DEMANDA_GAMA, 1) OVER w AS LAG_1W, lag(DEMANDA_GAMA, 13) OVER w AS LAG_13W,
-    avg(DEMANDA_GAMA) OVER (PARTITION BY PAIS, MARCA, TIER ORDER BY YEAR_WEEK ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS ROLLING_4W_MEAN,
+  SELECT *, lag(DEMANDA_GAMA, 1) OVER w AS LAG_1W, lag(DEMANDA_GAMA, 2) OVER w AS LAG_2W, lag(DEMANDA_GAMA, 4) OVER w AS LAG_4W,
+    lag(DEMANDA_GAMA, 8) OVER w AS LAG_8W, lag(DEMANDA_GAMA, 13) OVER w AS LAG_13W,
+    avg(DEMANDA_GAMA) OVER w4 AS ROLLING_4W_MEAN, coalesce(stddev_samp(DEMANDA_GAMA) OVER w4, 0) AS ROLLING_4W_STD,
+    avg(DEMANDA_GAMA) OVER w8 AS ROLLING_8W_MEAN,
+    weekofyear(YEAR_WEEK) AS SEMANA_ANO, month(YEAR_WEEK) AS MES, quarter(YEAR_WEEK) AS TRIMESTRE, year(YEAR_WEEK) AS ANO,
+    sin(2 * pi() * weekofyear(YEAR_WEEK) / 52) AS SEMANA_SIN, cos(2 * pi() * weekofyear(YEAR_WEEK) / 52) AS SEMANA_COS,
+    sin(2 * pi() * month(YEAR_WEEK) / 12) AS MES_SIN, cos(2 * pi() * month(YEAR_WEEK) / 12) AS MES_COS,
+    dense_rank() OVER (ORDER BY PAIS) - 1 AS PAIS_ENC, dense_rank() OVER (ORDER BY MARCA) - 1 AS MARCA_ENC,
     dense_rank() OVER (ORDER BY TIER) - 1 AS TIER_ENC
-  FROM wg WINDOW w AS (PARTITION BY PAIS, MARCA, TIER ORDER BY YEAR_WEEK)
+  FROM wg WINDOW w AS (PARTITION BY PAIS, MARCA, TIER ORDER BY YEAR_WEEK),
+    w4 AS (PARTITION BY PAIS, MARCA, TIER ORDER BY YEAR_WEEK ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING),
+    w8 AS (PARTITION BY PAIS, MARCA, TIER ORDER BY YEAR_WEEK ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)
 ),
 ref AS (
   SELECT PAIS, MARCA, TIER, round_even(avg(DEMANDA_GAMA) * 10, 0) / 10 AS DEMANDA_SEMANAL_PROM,
@@ -75,7 +83,8 @@ def _(t):
 @query("win_05_06_07_ml_01_features",
        f"{SERIES}, DEMANDA d2, LAG_1W d2, LAG_2W d2, LAG_4W d2, LAG_8W d2, LAG_13W d2, ROLLING_4W_MEAN d4, "
        "ROLLING_4W_STD d4, ROLLING_8W_MEAN d4, SEMANA_ANO l, MES l, TRIMESTRE l, ANO l, SEMANA_SIN d6, SEMANA_COS d6, "
-       "MES_SIN d6, MES_COS d6", "SELECT * FROM feat", WEEK)
+       "MES_SIN d6, MES_COS d6, PRECIO_PROM d4, COSTO_PROM d4, NUM_TRANSAC l, PAIS_ENC l, FAMILIA_ENC l, MARCA_ENC l",
+       "SELECT * FROM feat", WEEK)
 def _(t):
     return ft.sku_features(ft.weekly_demand(_ser_sales(t)))
 
@@ -153,8 +162,10 @@ def _(t):
     return ft.weekly_range_demand(t.sales)
 
 
-@query("ml_02_features_gama", "YEAR_WEEK t, MARCA s, TIER s, PAIS s, DEMANDA_GAMA d2, LAG_1W d2, LAG_13W d2, "
-       "ROLLING_4W_MEAN d4, TIER_ENC l", "SELECT * FROM gfeat", RANGE)
+@query("ml_02_features_gama", "YEAR_WEEK t, MARCA s, TIER s, PAIS s, DEMANDA_GAMA d2, LAG_1W d2, LAG_2W d2, LAG_4W d2, "
+       "LAG_8W d2, LAG_13W d2, ROLLING_4W_MEAN d4, ROLLING_4W_STD d4, ROLLING_8W_MEAN d4, SEMANA_ANO l, MES l, TRIMESTRE l, "
+       "ANO l, SEMANA_SIN d6, SEMANA_COS d6, MES_SIN d6, MES_COS d6, PRECIO_PROM d4, COSTO_PROM d4, NUM_SKUS l, PAIS_ENC l, "
+       "MARCA_ENC l, TIER_ENC l", "SELECT * FROM gfeat", RANGE)
 def _(t):
     return ft.range_features(ft.weekly_range_demand(t.sales))
 

@@ -93,6 +93,26 @@ def _(t):
     return profile.describe(t.movements, "COSTO", [], {"P25": 0.25, "P50": 0.5, "P75": 0.75})
 
 
+NUMBERS = ["VALUE", "COSTO", "PRECIO_UNITARIO", "ANIO", "MES"]
+TEXTS = ["PAIS", "TIPO_TRANSACCION", "CODIGO_SKU", "CODIGO_BODEGA", "MARCA", "TIER", "ESTADO", "YEAR_MONTH", "FECHA"]
+
+
+@query("prf_06b_describe_numeros",
+       "COLUMNA s, N l, MEDIA d2, DESV d2, MINIMO d6, P25 d6, P50 d6, P75 d6, MAXIMO d6", " UNION ALL ".join(
+           f"SELECT '{c}' AS COLUMNA, count({c}) AS N, avg({c}) AS MEDIA, stddev_samp({c}) AS DESV, min({c}) AS MINIMO, "
+           f"quantile_cont({c}, 0.25) AS P25, quantile_cont({c}, 0.5) AS P50, quantile_cont({c}, 0.75) AS P75, max({c}) AS MAXIMO FROM mv"
+           for c in NUMBERS))
+def _(t):
+    return profile.describe_numbers(t.movements, NUMBERS)
+
+
+@query("prf_06c_describe_textos", "COLUMNA s, N l, UNICOS l, TOPE s, FRECUENCIA l", " UNION ALL ".join(
+    f"(SELECT '{c}' AS COLUMNA, sum(k) OVER () AS N, count(*) OVER () AS UNICOS, v AS TOPE, k AS FRECUENCIA "
+    f"FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS k FROM mv GROUP BY 1) ORDER BY k DESC, v LIMIT 1)" for c in TEXTS))
+def _(t):
+    return profile.describe_texts(t.movements, TEXTS)
+
+
 @query("prf_07_costo_cero_tipo", "TIPO_TRANSACCION s, N l", """
 SELECT TIPO_TRANSACCION, count(*) FILTER (COSTO / nullif(VALUE, 0) = 0) AS N FROM typed GROUP BY 1""")
 def _(t):
