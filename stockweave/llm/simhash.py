@@ -170,7 +170,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE)
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs``, all columns, that are their component's first by doc_id, then by hash of the text."""
-    found = kept(near_duplicates(docs, shingle, distance), "near-duplicates")
+    return first_of_each(docs, kept(near_duplicates(docs, shingle, distance), "near-duplicates"))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first among those of one root. found: doc_id, th, root of every row."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
     stay = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (text_hash() == first["_th"]), "left_semi")
     repeated = found.groupBy("doc_id", "th").count().filter("count > 1")
