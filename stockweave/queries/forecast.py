@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..plans import features as ft
 from ..plans import forecast as fc
 from ..schemas import ForecastParams
+from ..session import shared_folder
 from .base import query
 
-# Boosting runs its rounds one after another, so the registered runs have few; forests have the full size.
-SMALL = ForecastParams(boost_rounds=10, boost_depth=5)
+# Boosting runs its 500 rounds one after another; its checkpoints in the shared folder cut the lineage.
+FULL = ForecastParams()
 
 
 def _ser_sales(t):
@@ -230,13 +231,19 @@ def _(t):
     return h.select("PAIS", "CODIGO_SKU", text.alias("HIST"))
 
 
+def _checkpoints(t):
+    if t.spark.sparkContext.getCheckpointDir() is None:
+        t.spark.sparkContext.setCheckpointDir(shared_folder(t.spark))
+
+
 def _training(t):
-    return fc.training_rows(_ser_sales(t), SMALL).cache()
+    _checkpoints(t)
+    return fc.training_rows(_ser_sales(t), FULL).cache()
 
 
 def _scored(t, name):
     rows = _training(t)
-    return fc.metrics(fc.predictions(fc.fit_sku_models(rows, SMALL, [name]), rows))
+    return fc.metrics(fc.predictions(fc.fit_sku_models(rows, FULL, [name]), rows))
 
 
 @query("ml_05_regresion_lineal", f"MODELO_PRED s, {SCORE_COLS}")
@@ -256,21 +263,22 @@ def _(t):
 
 @query("ml_08_boosting_gama", f"MODELO_PRED s, {SCORE_COLS}")
 def _(t):
-    rows = fc.range_training_rows(t.sales, SMALL).cache()
-    model = fc.fit_range_model(rows, SMALL)
+    _checkpoints(t)
+    rows = fc.range_training_rows(t.sales, FULL).cache()
+    model = fc.fit_range_model(rows, FULL)
     return fc.metrics(fc.predictions({"Boosting Gama": model}, rows, ft.RANGE_TARGET))
 
 
 @query("ml_11_importancia", "FEATURE s, IMPORTANCIA d4")
 def _(t):
-    model = fc.fit_sku_models(_training(t), SMALL, ["Random Forest"])["Random Forest"]
+    model = fc.fit_sku_models(_training(t), FULL, ["Random Forest"])["Random Forest"]
     return fc.feature_importance(model, ft.SKU_FEATURES, t.spark)
 
 
 @query("ml_13_resumen", "metrica s, valor s")
 def _(t):
     rows = _training(t)
-    models = fc.fit_sku_models(rows, SMALL, ["Regresion Lineal", "Random Forest"])
+    models = fc.fit_sku_models(rows, FULL, ["Regresion Lineal", "Random Forest"])
     return fc.run_summary(fc.metrics(fc.predictions(models, rows)), rows)
 
 
