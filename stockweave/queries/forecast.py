@@ -278,7 +278,7 @@ def _(t):
 @query("ml_13_resumen", "metrica s, valor s")
 def _(t):
     rows = _training(t)
-    models = fc.fit_sku_models(rows, FULL, ["Regresion Lineal", "Random Forest"])
+    models = fc.fit_sku_models(rows, FULL, fc.MODEL_NAMES)
     return fc.run_summary(fc.metrics(fc.predictions(models, rows)), rows)
 
 

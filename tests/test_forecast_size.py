@@ -41,3 +41,7 @@ def fitted(monkeypatch, name):
 @pytest.mark.parametrize("name", ["ml_07_boosting", "ml_08_boosting_gama"])
 def test_boosting_has_its_full_size(monkeypatch, name):
     assert fitted(monkeypatch, name)[0] == ForecastParams()
+
+
+def test_summary_chooses_among_all_models(monkeypatch):
+    assert fitted(monkeypatch, "ml_13_resumen") == (ForecastParams(), forecast.fc.MODEL_NAMES)
