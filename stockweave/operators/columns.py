@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 from functools import reduce
 
@@ -13,25 +14,27 @@ from ..schemas import HEADER_ALIASES
 
 
 def canonical_name(header: str) -> str:
-    """Canonical column name of one header. Letters outside ASCII are dropped."""
-    words = "_".join(str(header).split())
-    kept = re.sub("[^A-Za-z0-9_]", "", words)
-    name = "_".join(part for part in kept.split("_") if part).upper()
+    """Canonical column name of one header: its words, without other signs, in capitals."""
+    words = (re.sub("[^A-Za-z0-9]", "", word) for word in re.split(r"[\s_]+", str(header)))
+    name = "_".join(filter(None, words)).upper()
     return HEADER_ALIASES.get(name, name)
 
 
+def _numbered(names: list[str]) -> list[str]:
+    """The n-th occurrence of a name gets the suffix ``_n``, from the second on."""
+    seen: Counter[str] = Counter()
+    out = []
+    for name in names:
+        seen[name] += 1
+        out.append(f"{name}_{seen[name]}" if seen[name] > 1 else name)
+    return out
+
+
 def canonical_columns(df: DataFrame) -> DataFrame:
-    """Rename every column; a repeated target gets the suffix ``_2``, ``_3``, ..."""
-    taken: set[str] = set()
-    names = []
-    for header in df.columns:
-        base = canonical_name(header)
-        name, n = base, 1
-        while name in taken:
-            n += 1
-            name = f"{base}_{n}"
-        taken.add(name)
-        names.append(name)
+    """Rename every column; a numbered name that another header bears is numbered once more."""
+    names = [canonical_name(header) for header in df.columns]
+    while len(set(names)) < len(names):
+        names = _numbered(names)
     return df.toDF(*names)
 
 

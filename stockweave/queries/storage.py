@@ -142,10 +142,10 @@ def _(t):
 
 @query("snk_06_07_modelo_guardado", "MODELO_PRED s, PAIS s, N_MUESTRAS l, MAE d4")
 def _(t):
-    from .forecast import SMALL, _training
+    from .forecast import FULL, _training
 
     rows, folder = _training(t), _dir(t, "model")
-    fc.save_model(fc.fit_sku_models(rows, SMALL, ["Random Forest"])["Random Forest"], f"{folder}/m")
+    fc.save_model(fc.fit_sku_models(rows, FULL, ["Random Forest"])["Random Forest"], f"{folder}/m")
     preds = fc.predictions({"Random Forest": fc.load_model(f"{folder}/m")}, rows)
     preds.write.parquet(f"{folder}/predicciones")
     return fc.metrics(t.spark.read.parquet(f"{folder}/predicciones"), ["PAIS"])

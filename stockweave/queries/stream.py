@@ -357,9 +357,9 @@ def _(t):
 
 @query("ml_14_prediccion_en_linea", f"{KEY}, fuente_pred s, demanda_pred_7d d1, stock_actual l, cobertura_ok b")
 def _(t):
-    from .forecast import SMALL, _training
+    from .forecast import FULL, _training
 
-    model = fc.fit_sku_models(_training(t), SMALL, ["Random Forest"])["Random Forest"]
+    model = fc.fit_sku_models(_training(t), FULL, ["Random Forest"])["Random Forest"]
     state = frozen(_state(t))
     return predicted(rules.kpis(state), state, model, F.to_date(F.lit("2024-01-31")))
 
