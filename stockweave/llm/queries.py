@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 and, where SQL can express one, its DuckDB form."""
+"""The registered queries op1 to op13 and, where SQL can express one, its DuckDB form."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, difference_cover, language, packing, pii, pivots, recompression, simhash, token_files, toxicity
+from . import alignment, decontaminate, difference_cover, filter_audit, language, packing, pii, pivots, rank_bpe, recompression, simhash, token_files, toxicity
 from .common import new_folder
 from .wordpieces import vocabulary
 
@@ -116,3 +116,50 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_difference_cover_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return difference_cover.without_repeats(read(spark, folder, "documents")).drop("kept")
+
+
+@query("op11_rank_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = rank_bpe.decoded(rank_bpe.encoded(read(spark, folder, "documents"), path, pattern), path, pattern)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.token_alignment(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return found.drop("th")
+
+
+@query("op13_filter_audit", r"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(first < w.doc_id, FALSE)::INT AS mask
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+x AS (SELECT unnest(range(0, 5)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (
+  SELECT array_to_string(list_transform(p, lambda i: substr('ABCDE', i + 1, 1)), '') AS filter_order, k + 1 AS step, CAST(1 << p[k + 1] AS INT) AS own,
+    CAST(coalesce(list_sum(list_transform(p[1:k], lambda i: 1 << i)), 0) AS INT) AS earlier
+  FROM o, (SELECT i AS k FROM x)),
+r AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & earlier <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
