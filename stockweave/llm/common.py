@@ -8,7 +8,7 @@ text stay apart, and rows that repeat both get the same result each.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +33,31 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete what operators have written to the shared folder, once their results are used."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def written_by(make: Callable[[], DataFrame]) -> tuple[DataFrame, list[tuple[SparkSession, str]]]:
+    """What ``make`` returns and the folders that it wrote; they are no longer ``release``'s."""
+    mark = len(_WRITTEN)
+    result = make()
+    paths = _WRITTEN[mark:]
+    del _WRITTEN[mark:]
+    return result, paths
+
+
+def forget(paths: list[tuple[SparkSession, str]], still_read: Callable[[str], bool] = lambda path: False) -> list[tuple[SparkSession, str]]:
+    """Delete the folders but those still read, which are returned."""
+    left = []
+    for spark, path in paths:
+        if still_read(path):
+            left.append((spark, path))
+            continue
         jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    return left
+
+
+def release() -> None:
+    """Delete what operators have written to the shared folder, once their results are used."""
+    forget(_WRITTEN)
+    _WRITTEN.clear()
 
 
 def text_hash(text: str = "text") -> Column:

@@ -6,7 +6,7 @@ renormalise by 32-bit words; frequencies sum to 2**SCALE. A block holds:
     magic 4s, tokens u64, lanes u32, rows between checkpoints u32, checkpoints u32, words u64, crc32 of the ids u32,
     states of lanes u64 * K, per checkpoint: word offset u64 and states u64 * K, the words u32, crc32 of all before u32
 
-The decoder begins at the block's start or at any checkpoint.
+The decoder begins at the block's start or at any checkpoint. No ids make a block of one empty row, which decodes to no ids.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sQIIIQI")
 MAGIC = b"RNS1"
-LANES, EVERY = 512, 128
+#: Wide rows keep the time in numpy; a checkpoint is as large as a row of states.
+LANES, EVERY = 4096, 128
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Token-ID output: ids of all documents in ascending doc_id order, range-coded in independent blocks.
 
-``write_token_files`` orders the documents by range partitions, cuts each partition's ids into
-blocks of whole documents, counts every token of the corpus, makes one frequency table of the
-counts and codes the blocks with it. ``read_token_files`` decodes the blocks in parallel. A file set is two Parquet
+``write_token_files`` stores every document's ids, counts every token of the corpus, makes one
+frequency table of the counts, orders the ids by range partitions of doc_id, cuts each partition into
+blocks of whole documents and codes the blocks with the table. ``read_token_files`` decodes the blocks in parallel. A file set is two Parquet
 folders: ``table`` (id, frequency) and ``blocks`` (part, block, doc_ids, lengths, payload); the
 payload is the format of ``rans.py`` with its checkpoints and checksums.
 
@@ -20,78 +20,84 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, kept, keyed, record
+from .common import columns_of, forget, kept, keyed, record, written_by
 from .rans import SCALE, Coder, frequencies
 from .wordpieces import wordpieces
 
 #: A block is closed at so many ids; a longer document makes a longer block.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 
 
-RAW = "part int, block int, doc_ids array<long>, lengths array<long>, ids binary"
+TOKENS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("ids", pa.binary())])
 BLOCKS = "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def token_blocks(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
-    """Blocks of whole documents in ascending doc_id order, ids as numpy integers of ``kind``."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
-
-    def cut(batches):
-        part, block, size, end = TaskContext.get().partitionId(), 0, 0, np.asarray([end_id], "<u4").tobytes()
-        coder, ids, held = wordpieces(path), [], []
-
-        def closed():
-            return record(schema, [[part], [block], [ids], [[len(x) // 4 for x in held]], [np.frombuffer(b"".join(held), "<u4").astype(kind).tobytes()]])
+def token_rows(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, th, ids (numpy integers of ``kind``, the end id last) of every row."""
+    end = np.asarray([end_id], "<u4").tobytes()
 
+    def tokenize(batches):
+        coder = wordpieces(path)
         for batch in batches:
-            for doc_id, text in columns_of(batch, "doc_id", "text"):
-                held.append(coder.encode(text or "") + end)
-                ids.append(doc_id)
-                size += len(held[-1]) // 4
-                if size >= BLOCK_IDS:
-                    yield closed()
-                    ids, held, size, block = [], [], 0, block + 1
-        if ids:
-            yield closed()
+            ids = [np.frombuffer(coder.encode(t or "") + end, "<u4").astype(kind).tobytes() for t in batch.column("text").to_pylist()]
+            yield record(TOKENS, [batch.column("doc_id"), batch.column("th"), ids])
 
-    ordered = keyed(docs).repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
-    return ordered.select("doc_id", "text").mapInArrow(cut, RAW)
+    return keyed(docs).mapInArrow(tokenize, "doc_id long, th long, ids binary")
 
 
-def token_counts(blocks: DataFrame, size: int, kind: str) -> DataFrame:
+def token_counts(tokens: DataFrame, size: int, kind: str) -> DataFrame:
     """How often each id occurs in the whole corpus: id, n."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, kind), minlength=size)
+            column = batch.column("ids")
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            total += np.bincount(np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind), minlength=size)
         ids = np.flatnonzero(total)
         yield record(schema, [ids.astype(np.int32), total[ids]])
 
-    return blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def coded_blocks(tokens: DataFrame, freq: np.ndarray, kind: str) -> DataFrame:
+    """Blocks of whole documents in ascending doc_id order: the ids, not the texts, go to their range's task."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
+
+    def encode(batches):
+        part, block, size, coder, doc_ids, held = TaskContext.get().partitionId(), 0, 0, Coder(freq), [], []
+
+        def closed():
+            data = np.frombuffer(b"".join(held), kind)
+            return record(schema, [[part], [block], [len(data)], [doc_ids], [[len(x) // data.itemsize for x in held]], [coder.encode(data)]])
+
+        for batch in batches:
+            for doc_id, ids in columns_of(batch, "doc_id", "ids"):
+                held.append(ids)
+                doc_ids.append(doc_id)
+                size += len(ids) // np.dtype(kind).itemsize
+                if size >= BLOCK_IDS:
+                    yield closed()
+                    doc_ids, held, size, block = [], [], 0, block + 1
+        if doc_ids:
+            yield closed()
+
+    ordered = tokens.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    return ordered.select("doc_id", "ids").mapInArrow(encode, BLOCKS)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     spark, size = docs.sparkSession, max(wordpieces(path).size, end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    raw = kept(token_blocks(docs, path, end_id, kind), "token-blocks")
+    tokens, stored = written_by(lambda: kept(token_rows(docs, path, end_id, kind), "tokens"))
     counts = np.zeros(size, np.int64)
-    for row in token_counts(raw, size, kind).toLocalIterator():  # a row per vocabulary entry at most
+    for row in token_counts(tokens, size, kind).toLocalIterator():  # a row per vocabulary entry at most
         counts[row["id"]] = row["n"]
     freq = frequencies(counts)
     spark.createDataFrame(list(enumerate(freq.tolist())), "id int, frequency int").coalesce(1).write.parquet(f"{folder}/table")
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
-
-    def encode(batches):
-        coder = Coder(freq)
-        for batch in batches:
-            for part, block, doc_ids, lengths, ids in columns_of(batch, "part", "block", "doc_ids", "lengths", "ids"):
-                data = np.frombuffer(ids, kind)
-                yield record(schema, [[part], [block], [len(data)], [doc_ids], [lengths], [coder.encode(data)]])
-
-    raw.mapInArrow(encode, BLOCKS).write.parquet(f"{folder}/blocks")
+    coded_blocks(tokens, freq, kind).write.parquet(f"{folder}/blocks")
+    forget(stored)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
