@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, keyed, record
+from .common import columns_of, kept, record
 from .wordpieces import wordpieces
 
 SHARE = 32_768
@@ -80,13 +80,17 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """Each piece with its sequence_id and its offset there."""
-    shares = max(1, -(-docs.count() // SHARE))
-    pieces = token_pieces(docs, path, end_id, capacity).withColumn("share", F.floor(F.rand(7) * shares))
+    """Each piece with its sequence_id and its offset there. Sequences of one full piece have negative numbers."""
+    pieces = kept(token_pieces(docs, path, end_id, capacity), "pieces")
+    full, rest = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
+    shares = max(1, -(-rest.count() // SHARE))
 
     def fill(rows: pa.Table) -> pa.Table:
         bins, offsets = pack(rows["length"].to_numpy(), capacity)
         number = (rows["share"].to_numpy() << 40) + bins
         return rows.drop_columns(["share"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets))
 
-    return pieces.groupBy("share").applyInArrow(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    shared = rest.withColumn("share", F.floor(F.rand(7) * shares)).groupBy("share").applyInArrow(
+        fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return shared.unionByName(alone)
