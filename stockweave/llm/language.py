@@ -6,7 +6,7 @@ with every dictionary, and the smallest total wins. A narrow margin marks the an
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; equal totals go
 to the language with more learning documents, then by name; rows that repeat a document get the
-same answer; a null doc_id is answered but never learned from; with nothing to learn from every
+same answer, and those among the learning documents' ROWS are learned from once each; a null doc_id is answered but never learned from; with nothing to learn from every
 answer is ``und``; an empty table gives no row.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, record
 
-#: Bounds of what a language is learned from.
-ROWS, DICTIONARY = 200, 110_000
+#: Bounds of what a language is learned from, and of the languages: of more, the most frequent are learned.
+ROWS, DICTIONARY, LANGUAGES = 200, 110_000, 256
 SHORT = 2000
 PIECE, LEVEL = 4096, 1
 #: Bytes of difference that divide a language's odds by e; a margin below which an answer is rejected.
@@ -35,13 +35,15 @@ UNKNOWN = "und"
 def learn_dictionaries(docs: DataFrame, learns: Column) -> list[tuple[str, bytes]]:
     """(language, dictionary), languages with more learning documents first."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(learns, F.lit(False)))
-    known = known.select("doc_id", "lang", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
-    order = Window.partitionBy("lang").orderBy(F.col("size") > SHORT, "h", "doc_id", "size")
-    chosen = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= ROWS).select("doc_id", "lang", "k")
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # ROWS per language
-    part = F.substring("text", 1, DICTIONARY).alias("text")  # no more of a text fits in a dictionary
-    rows = texts.select("lang", "k", part).orderBy("lang", "k").toLocalIterator()
+    known = known.select("doc_id", "lang", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th"))
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in common}
+    order = Window.partitionBy("lang").orderBy(F.col("size") > SHORT, "h", "doc_id", "size", "th")
+    chosen = known.filter(F.col("lang").isin(list(counts))).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= ROWS)
+    chosen = chosen.select("doc_id", "lang", "th", "k")
+    texts = docs.withColumn("th", F.xxhash64("text")).select("doc_id", "lang", "th", "text").join(F.broadcast(chosen), ["doc_id", "lang", "th"])  # ROWS per language
+    part = F.substring("text", 1, DICTIONARY)  # no more of a text fits in a dictionary
+    rows = texts.groupBy("lang", "k").agg(F.first(part).alias("text")).orderBy("lang", "k").toLocalIterator()  # a repeated row counts once
     out: dict[str, bytes] = {}
     for r in rows:
         if len(out.get(r["lang"], b"")) < DICTIONARY:

@@ -96,6 +96,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column) -> Toxicity
     marks = marks.orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # SAMPLE rows at most
     texts = kept(texts, "toxicity-sample")
+    if texts.count() > SAMPLE:  # a doc_id repeats
+        texts = kept(texts.orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE), "toxicity-sample")
     word = pa.schema([("word", pa.string()), ("toxic", pa.int32())])
 
     def spread(batches):
