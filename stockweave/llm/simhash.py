@@ -17,6 +17,7 @@ name unless all its members are null; an empty table gives no row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +181,8 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     repeated = found.groupBy("doc_id", "th").count().filter("count > 1")
     if repeated.isEmpty():
         return stay
-    return stay.withColumn("_th", text_hash()).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    own = next(name for name in (f"_th{i}" for i in count()) if name not in {c.lower() for c in docs.columns})  # no column of the table
+    return stay.withColumn(own, text_hash()).dropDuplicates(["doc_id", own]).drop(own)
 
 
 def hex_digits(fp: str) -> Column:
