@@ -23,8 +23,8 @@ from .wordpieces import wordpieces
 SHARE = 32_768
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
+def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, lean: bool = False) -> DataFrame:
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32. ``lean``: a task leaves no cached words to its worker's next one."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
@@ -37,6 +37,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> Data
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 out += [(doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             yield record(schema, list(zip(*out, strict=True)) or [[]] * 5)
+        if lean:
+            coder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -79,9 +81,9 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def packed(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, lean: bool = False) -> DataFrame:
     """Each piece with its sequence_id and its offset there. Sequences of one full piece have negative numbers."""
-    pieces = kept(token_pieces(docs, path, end_id, capacity), "pieces")
+    pieces = kept(token_pieces(docs, path, end_id, capacity, lean), "pieces")
     full, rest = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
     shares = max(1, -(-rest.count() // SHARE))
 

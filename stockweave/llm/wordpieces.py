@@ -25,7 +25,8 @@ SAFE_SPACE = re.compile(f"(?<={EDGE}) (?={EDGE})")
 EDGES = re.compile(f"{EDGE}(.*{EDGE})?", re.DOTALL)
 #: No combining marks, one lower-case form each.
 PLAIN = re.compile("[!-~¡-¬®-įı-ſ\n]+")
-PARTS, PIECES = 700_000, 500_000
+#: Entries of a cache's generation.
+PARTS, PIECES = 400_000, 250_000
 #: Signs that end a word; after letters they are one piece in both pre-tokenizers.
 TAIL = ".,!?;:"
 
@@ -41,44 +42,58 @@ class Unsafe(Exception):
     """A part that begins or ends with white space."""
 
 
-class Parts(dict):
+class Recent(dict):
+    """A cache of two generations: when the younger is full it becomes the older, whose entries in use move back."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.older = size, {}
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+    def __missing__(self, key: str) -> bytes:
+        data = self.older.get(key)
+        if data is None:
+            data = self.made(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = data
+        return data
+
+
+class Parts(Recent):
     """ids by part, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, owner: WordPieces) -> None:
+        super().__init__(PARTS)
         self.owner = owner
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= PARTS:
-            self.clear()
+    def made(self, part: str) -> bytes:
         owner, core = self.owner, part.rstrip(TAIL)
         if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):
             ids = owner.pieces[owner.lead + (core.lower() if owner.lower else core)]
-            if len(core) < len(part):
-                ids += owner.pieces[part[len(core) :]]
-        elif EDGES.fullmatch(part):
-            ids = owner.part(owner.lead + part)
-        else:
-            raise Unsafe
-        self[part] = ids
-        return ids
+            return ids + owner.pieces[part[len(core) :]] if len(core) < len(part) else ids
+        if EDGES.fullmatch(part):
+            return owner.part(owner.lead + part)
+        raise Unsafe
 
 
-class Pieces(dict):
+class Pieces(Recent):
     """ids by what the pre-tokenizer cuts out."""
 
     def __init__(self, owner: WordPieces) -> None:
-        self.owner, self.alphabet = owner, byte_characters()
+        super().__init__(PIECES)
+        self.tokenize, self.alphabet = owner.model.tokenize, byte_characters()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
+    def made(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
             word = piece.replace(" ", self.alphabet[32])
         else:
             word = "".join([self.alphabet[b] for b in piece.encode()])
-        ids = [t.id for t in self.owner.model.tokenize(word)]
-        data = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return data
+        ids = [t.id for t in self.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordPieces:
@@ -99,6 +114,11 @@ class WordPieces:
         self.parts, self.pieces = Parts(self), Pieces(self)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.parts.forget()
+        self.pieces.forget()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
