@@ -78,7 +78,7 @@ def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and offset; a null or empty text is a piece of the end id alone."""
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, lean=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
