@@ -51,8 +51,8 @@ def _fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", rounded_even(c.cast("double"), digits))
 
 
-def alerts(kpi: DataFrame, predictions: DataFrame | None = None, p: StreamParams = P) -> DataFrame:
-    """Alert rows of unmuted keys; with ``predictions`` also cover shortfalls."""
+def alerts(kpi: DataFrame, predictions: DataFrame | None = None, p: StreamParams = P, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Alert rows of unmuted keys; with ``predictions`` also cover shortfalls. ``keep``: further columns of both to carry."""
     stock, sold, doh, weekly = (F.col(c) for c in ("stock_actual", "ventas_acum", "doh", "dem_semanal_ref"))
     mean = F.coalesce(mean_of(F.col("historial")), F.lit(0.0))
     std = F.coalesce(population_std(F.col("historial")), F.lit(0.0))
@@ -81,7 +81,7 @@ def alerts(kpi: DataFrame, predictions: DataFrame | None = None, p: StreamParams
             F.lit("Ventas "), sold.cast("string"), F.lit(" uds -- promedio historico "), _fixed(mean, 1), F.lit(" uds (+"),
             _fixed(F.try_divide(sold - mean, mean) * 100, 0), F.lit("%)"))),
     ))
-    fields = [*KEYS, "marca", "modelo"]
+    fields = [*keep, *KEYS, "marca", "modelo"]
     live = kpi.filter(not_muted(F.col("estado"), p.muted_states))
     out = live.select(*fields, F.inline(found))
     if predictions is None:
