@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -72,16 +73,30 @@ def _bins(rows: DataFrame, categories: list[str]) -> int:
     return max(32, *(n + 2 for n in counts))
 
 
+#: Training rows of a partition. Boosting runs thousands of short jobs one after another, so small tables are few tasks.
+TRAIN_ROWS = 50_000
+
+
+def _train_side(rows: DataFrame) -> DataFrame:
+    train = rows.filter("LADO = 'TRAIN'")
+    return train.repartition(max(1, -(-train.count() // TRAIN_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_sku_models(rows: DataFrame, p: ForecastParams = ForecastParams(), names=MODEL_NAMES) -> dict[str, PipelineModel]:
     """Fit the regressors on the TRAIN side; cache ``rows`` before when fitting several."""
-    train = rows.filter("LADO = 'TRAIN'")
+    train = _train_side(rows)
     built = pipelines(ft.SKU_FEATURES, ft.SKU_TARGET, ft.SKU_CATEGORIES, p, _bins(rows, ft.SKU_CATEGORIES))
-    return {n: built[n].fit(train) for n in names}
+    models = {n: built[n].fit(train) for n in names}
+    train.unpersist()
+    return models
 
 
 def fit_range_model(rows: DataFrame, p: ForecastParams = ForecastParams()) -> PipelineModel:
     stages = [*_inputs(ft.RANGE_FEATURES, ft.RANGE_CATEGORIES), boosting(ft.RANGE_TARGET, p, p.range_min_leaf, _bins(rows, ft.RANGE_CATEGORIES))]
-    return Pipeline(stages=stages).fit(rows.filter("LADO = 'TRAIN'"))
+    train = _train_side(rows)
+    model = Pipeline(stages=stages).fit(train)
+    train.unpersist()
+    return model
 
 
 def predictions(models: dict[str, PipelineModel], rows: DataFrame, target: str = ft.SKU_TARGET) -> DataFrame:
