@@ -3,6 +3,9 @@
 ``tools/check.py`` compares all of them.
 """
 
+import ast
+import importlib
+import importlib.util
 import sys
 from pathlib import Path
 
@@ -22,7 +25,7 @@ NAMES = [
     "prf_02_resumen_limpieza", "prf_09_caja_precio_tipo", "agg_36_correlacion", "win_09_pareto", "agg_23_pivot_semana",
     "win_05_06_07_ml_01_features", "ml_04b_lados", "ml_10_metricas_pais", "agg_27_sku_nuevo", "str_05_replay",
     "str_08_a_14_alertas", "str_16_jon_18_19_transitos_sugeridos", "jon_15_ord_09_sustitutos", "win_10_vista_batch",
-    "agg_42_jon_17_sobrestock", "src_01_02_03_06_07_archivos", "snk_01_hecho_particionado",
+    "agg_42_jon_17_sobrestock", "agg_43_batch_vs_stream", "ord_10_ultimas_alertas", "ord_11_ultima_ventana", "str_07b_kpis_por_ventana", "src_01_02_03_06_07_archivos", "snk_01_hecho_particionado",
 ]
 
 
@@ -44,6 +47,17 @@ def test_query_equals_sql(spark, db, name):
     assert got.equals(want)
 
 
+def test_imports_inside_queries_resolve():
+    """A query's own imports run only when it is called; each names something that is there."""
+    package = Path(entry.__file__).parent / "stockweave" / "queries"
+    for file in package.glob("*.py"):
+        for node in ast.walk(ast.parse(file.read_text())):
+            if isinstance(node, ast.ImportFrom) and node.level and node.module:
+                base = ".".join(["stockweave", "queries"][: 3 - node.level])
+                module = importlib.import_module(f"{base}.{node.module}")
+                assert all(hasattr(module, a.name) or importlib.util.find_spec(f"{module.__name__}.{a.name}") for a in node.names), (file, node.module)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 

@@ -295,3 +295,27 @@ def test_events_from_table_and_back(spark, tmp_path):
     ev.export_lines(events, str(tmp_path / "x"), 2)
     back = ev.valid_events(spark.read.text(str(tmp_path / "x"))).collect()
     assert [(r.value, r.precio_unitario, r.estado, r.fuente) for r in back] == [(3, 2.0, "ACTIVE", "REAL")]
+
+
+def test_window_totals_equal_keys_times_windows(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        kind = rng.choice(["SALES", "SALES", "SALES", "INVENTORY"])
+        rows.append((f"e{i:04d}", datetime(2024, 1, 1) + timedelta(minutes=i), kind, "A", f"s{min(rng.randrange(12), rng.randrange(12))}", rng.randrange(1, 9), 2.5, i // 20 + 1))
+    events = spark.createDataFrame(rows, "evento_id string, timestamp timestamp, tipo_evento string, pais string, codigo_sku string, value long, precio_unitario double, ventana long")
+    events = events.withColumns({c: F.lit("x") for c in ("familia", "modelo", "marca", "tier")} | {"estado": F.lit("ACTIVE")})
+    states = rules.kpis(replay.window_states(replay.replayed(events))).cache()
+    sales = {}
+    for _, _, kind, _, sku, value, _, window in rows:
+        if kind == "SALES":
+            sales.setdefault(sku, []).append((window, value))
+    for r in states.collect():
+        assert r["historial"] == [v for w, v in sales.get(r["codigo_sku"], []) if w <= r["ventana"]][-13:]
+    every = replay.in_every_window(states, F.lit(20)).cache()
+    first = {r[4]: r[7] for r in reversed(rows)}
+    assert every.count() == sum(21 - w for w in first.values())
+    def shown(df):
+        return sorted((r["ventana"], r["skus"], r["con_ventas"], r["en_stockout"], r["ventas"], round(r["ingreso"], 6), None if r["doh_prom"] is None else round(r["doh_prom"], 6)) for r in df.collect())
+
+    assert shown(dashboard.window_totals(states)) == shown(dashboard.window_summary(every))
