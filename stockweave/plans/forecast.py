@@ -1,17 +1,18 @@
-"""Demand models on MLlib: training, metrics, persistence and scoring."""
+"""Demand models on MLlib and ``boosting``: training, metrics, persistence and scoring."""
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
 from ..schemas import ForecastParams
 from . import features as ft
+from .boosting import BoostedTrees, BoostSettings
 
 MODEL_NAMES = ("Regresion Lineal", "Random Forest", "Boosting")
 
@@ -41,16 +42,14 @@ def pipelines(
         "Random Forest": Pipeline(stages=[*inputs, RandomForestRegressor(
             labelCol=target, numTrees=p.forest_trees, maxDepth=p.forest_depth,
             minInstancesPerNode=p.forest_min_leaf, featureSubsetStrategy="sqrt", seed=p.seed, maxBins=max_bins)]),
-        "Boosting": Pipeline(stages=[*inputs, boosting(target, p, p.boost_min_leaf, max_bins)]),
+        "Boosting": Pipeline(stages=[*inputs, boosting(target, p, p.boost_min_leaf)]),
     }
 
 
-def boosting(target: str, p: ForecastParams, min_leaf: int, max_bins: int = 32) -> GBTRegressor:
-    return GBTRegressor(
-        labelCol=target, maxIter=p.boost_rounds, stepSize=p.boost_step, maxDepth=p.boost_depth,
-        subsamplingRate=p.boost_subsample, featureSubsetStrategy=p.boost_features,
-        minInstancesPerNode=min_leaf, seed=p.seed, maxBins=max_bins,
-    )
+def boosting(target: str, p: ForecastParams, min_leaf: int) -> BoostedTrees:
+    return BoostedTrees(target, BoostSettings(
+        rounds=p.boost_rounds, step=p.boost_step, depth=p.boost_depth, rows=p.boost_subsample, features=p.boost_features,
+        min_rows=min_leaf, l1=p.boost_l1, l2=p.boost_l2, seed=p.seed))
 
 
 def training_rows(sales: DataFrame, p: ForecastParams = ForecastParams()) -> DataFrame:
@@ -92,7 +91,7 @@ def fit_sku_models(rows: DataFrame, p: ForecastParams = ForecastParams(), names=
 
 
 def fit_range_model(rows: DataFrame, p: ForecastParams = ForecastParams()) -> PipelineModel:
-    stages = [*_inputs(ft.RANGE_FEATURES, ft.RANGE_CATEGORIES), boosting(ft.RANGE_TARGET, p, p.range_min_leaf, _bins(rows, ft.RANGE_CATEGORIES))]
+    stages = [*_inputs(ft.RANGE_FEATURES, ft.RANGE_CATEGORIES), boosting(ft.RANGE_TARGET, p, p.range_min_leaf)]
     train = _train_side(rows)
     model = Pipeline(stages=stages).fit(train)
     train.unpersist()

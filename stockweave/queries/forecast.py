@@ -10,7 +10,7 @@ from ..schemas import ForecastParams
 from ..session import shared_folder
 from .base import query
 
-# Boosting runs its 500 rounds one after another; its checkpoints in the shared folder cut the lineage.
+# Boosting runs its 500 rounds one after another, a short job per level of each tree.
 FULL = ForecastParams()
 
 

@@ -190,8 +190,10 @@ class ForecastParams:
     boost_step: float = 0.05
     boost_depth: int = 6
     boost_subsample: float = 0.8
-    boost_features: str = "0.8"
+    boost_features: float = 0.8
     boost_min_leaf: int = 5
+    boost_l1: float = 0.1
+    boost_l2: float = 1.0
     range_min_leaf: int = 3
     seed: int = 42
 
