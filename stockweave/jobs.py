@@ -89,11 +89,15 @@ def train(spark: SparkSession, fact_folder: str, out: str, params: ForecastParam
     sinks.write_report({
         "metricas_globales": scores,
         "metricas_por_pais": forecast.metrics(preds, ["PAIS"]),
+        "predicciones_test": preds,
+        "importancias": forecast.importances(models, features.SKU_FEATURES, spark),
         "resumen_ejecutivo": forecast.run_summary(scores, rows),
         "metricas_gama": forecast.metrics(
             forecast.predictions({"Boosting Gama": range_model}, ranges, features.RANGE_TARGET)),
         "referencia_gama": reference,
     }, f"{out}/reporte_modelos")
+    for df in (rows, preds, ranges):
+        df.unpersist()
 
 
 def stream(

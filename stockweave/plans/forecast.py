@@ -161,6 +161,16 @@ def feature_importance(model: PipelineModel, columns: list[str], spark) -> DataF
     return spark.createDataFrame([(c, float(w)) for c, w in zip(columns, weights)], "FEATURE string, IMPORTANCIA double")
 
 
+def importances(models: dict[str, PipelineModel], columns: list[str], spark) -> DataFrame:
+    """Importance per feature of every tree model among ``models``, with the model's name."""
+    parts = [feature_importance(m, columns, spark).select(F.lit(name).alias("MODELO_PRED"), "FEATURE", "IMPORTANCIA")
+             for name, m in models.items() if hasattr(m.stages[-1], "featureImportances")]
+    out = spark.createDataFrame([], "MODELO_PRED string, FEATURE string, IMPORTANCIA double")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -166,8 +166,27 @@ def test_models_train_score_save(spark, tmp_path):
     again = forecast.predictions({"Boosting": forecast.load_model(str(tmp_path / "m"))}, rows)
     a = preds.filter("MODELO_PRED = 'Boosting'").agg(F.sum("PRED")).first()[0]
     assert again.agg(F.sum("PRED")).first()[0] == pytest.approx(a)
-    importance = forecast.feature_importance(models["Random Forest"], features.SKU_FEATURES, spark)
-    assert importance.count() == 22
+    importance = forecast.importances(models, features.SKU_FEATURES, spark).groupBy("MODELO_PRED").agg(
+        F.count("*").alias("n"), F.sum("IMPORTANCIA").alias("s")).collect()
+    assert {r.MODELO_PRED: (r.n, round(r.s, 9)) for r in importance} == {"Random Forest": (22, 1), "Boosting": (22, 1)}
+
+
+def test_train_job_writes_models_scores_and_importances(spark, tmp_path):
+    from stockweave import jobs
+    from stockweave.schemas import ForecastParams
+
+    small = ForecastParams(forest_trees=2, forest_depth=2, boost_rounds=2, boost_depth=2)
+    data = [r for k in range(4) for r in weekly(spark, [10 + (i * (k + 3)) % 7 for i in range(40)], str(k), MARCA=f"M{k % 2}")]
+    table(spark, data).withColumn("TIPO_TRANSACCION", F.lit("SALES")).write.parquet(str(tmp_path / "fact"))
+    jobs.train(spark, str(tmp_path / "fact"), str(tmp_path / "out"), small)
+
+    def sheet(name):
+        return spark.read.option("header", True).csv(str(tmp_path / "out" / "reporte_modelos" / name))
+
+    assert sheet("importancias").count() == 44
+    assert sheet("predicciones_test").count() == spark.read.parquet(str(tmp_path / "out" / "predicciones_test")).count() > 0
+    assert {r.MODELO_PRED for r in sheet("metricas_globales").collect()} == set(forecast.MODEL_NAMES)
+    assert forecast.load_model(str(tmp_path / "out" / "model_boosting_gama")).stages[-1].featureImportances.size == len(features.RANGE_FEATURES)
 
 
 def test_series_without_gaps_and_weeks_ending_monday(spark):
