@@ -114,6 +114,28 @@ def test_quantiles_are_exact(spark, accuracy):
     assert whole.c == pytest.approx(np.quantile([v for _, v in data], 0.5), rel=1e-12)
 
 
+def test_a_coarse_sketch_changes_no_quantile(spark):
+    n = 1_000_000
+    value = F.when(F.col("id") % 3 == 0, F.lit(7.25)).otherwise(F.exp(F.hash("id") / F.lit(1.5e8)))
+    df = spark.range(n).select(F.when(F.col("id") % 4 > 0, F.lit("hot")).alias("k"), value.alias("v"))
+    pdf = df.toPandas()
+    probs = {"a": 0.001, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.9999}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, accuracy=10).collect()}
+    for k, vs in (("hot", pdf[pdf.k == "hot"].v), (None, pdf[pdf.k.isna()].v)):
+        assert got[k].N == len(vs)
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(np.quantile(vs, p), rel=1e-12), (k, name)
+
+
+def test_repeated_rows_weigh_in_quantiles(spark):
+    df = spark.createDataFrame([("a", float(v), 3) for v in range(5)] + [("b", 1.0, 1)], "k string, v double, t int")
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"m": 0.5, "h": 0.95}, repeat="t").collect()}
+    assert got["a"].N == 15 and got["a"].m == 2.0 and got["a"].h == pytest.approx(np.quantile(np.repeat(range(5), 3), 0.95))
+    assert (got["b"].N, got["b"].m) == (1, 1.0)
+    assert exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+    assert exact_quantiles(df.limit(0), [], "v", {"m": 0.5}).count() == 0
+
+
 def test_iqr_edges(spark):
     prices = {"SALES": [10, 11, 12, 13, 14, 500.0], "INVENTORY": [5.0] * 9 + [99], "TRANSITS": [1, 2, 3, 4.0]}
     df = spark.createDataFrame([(t, float(v)) for t, vs in prices.items() for v in vs] + [("SALES", None)],
