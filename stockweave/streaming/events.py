@@ -121,15 +121,33 @@ def export_lines(events: DataFrame, folder: str, files: int) -> None:
 
 
 def event_sample(sales: DataFrame, stock: DataFrame, total: int, seed: int = 42) -> DataFrame:
-    """Repeatable sample without replacement: 40 % sales, 60 % stock rows of ``total``.
+    """Repeatable sample without replacement: 40 % sales, 60 % stock rows of ``total``."""
+    return lowest_hashes(sales, int(total * 0.4), seed).unionByName(lowest_hashes(stock, int(total * 0.6), seed))
 
-    Rows are numbered in hash order over range slices, so any sample size stays distributed.
+
+def lowest_hashes(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """The ``n`` rows of least hash, all if there are no more; equal hashes by their columns.
+
+    The hash values lie evenly, so a bound on them follows from the row count. It is moved up until
+    ``n`` rows lie below it; only these are put in order. Equal rows share a hash and may lie
+    below it in any number, so the order is that of range slices.
     """
-    def draw(df: DataFrame, n: int) -> DataFrame:
-        columns = sorted(df.columns)
-        mixed = df.withColumn("_mix", F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]))
-        order = ["_mix", *columns]
-        numbered = with_row_number(sliced(mixed, [], order), order, "_pos")
-        return numbered.filter(F.col("_pos") <= n).select(*df.columns)
-
-    return draw(sales, int(total * 0.4)).unionByName(draw(stock, int(total * 0.6)))
+    if n <= 0:
+        return df.limit(0)
+    columns = sorted(df.columns)
+    mixed = df.withColumn("_mix", F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]))
+    rows, spread = df.count(), 6
+    if rows <= n:
+        return df
+    while True:
+        share = (n + spread * (n**0.5 + 1)) / rows
+        if share >= 1:
+            low = mixed
+            break
+        low = mixed.filter(F.col("_mix") <= F.lit(int(share * 2**64) - 2**63))
+        if low.count() >= n:
+            break
+        spread *= 4
+    order = ["_mix", *columns]
+    numbered = with_row_number(sliced(low, [], order), order, "_pos")
+    return numbered.filter(F.col("_pos") <= n).select(*df.columns)

@@ -319,3 +319,14 @@ def test_window_totals_equal_keys_times_windows(spark):
         return sorted((r["ventana"], r["skus"], r["con_ventas"], r["en_stockout"], r["ventas"], round(r["ingreso"], 6), None if r["doh_prom"] is None else round(r["doh_prom"], 6)) for r in df.collect())
 
     assert shown(dashboard.window_totals(states)) == shown(dashboard.window_summary(every))
+
+
+def test_lowest_hashes_are_those_of_the_whole_order(spark):
+    rows = spark.range(20_000).select((F.col("id") % 9000).alias("a"), F.lit("x").alias("b"))
+    whole = rows.withColumn("h", F.xxhash64(F.lit(7), "a", "b")).orderBy("h", "a").drop("h")
+    for n in (1, 500, 19_999, 20_000, 50_000):
+        got = sorted(r.a for r in ev.lowest_hashes(rows, n, 7).collect())
+        assert got == sorted(r.a for r in whole.limit(n).collect()), n
+    same = spark.range(3000).select(F.lit(1).alias("a"))  # all rows share one hash
+    assert ev.lowest_hashes(same, 10).count() == 10
+    assert ev.lowest_hashes(same.limit(0), 10).count() == 0 and ev.lowest_hashes(same, 0).count() == 0
