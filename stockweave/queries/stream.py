@@ -330,14 +330,71 @@ def _(t):
     return rules.substitute_orders(state)
 
 
-@query("str_01_09_19_20_job", f"{KEY}, stock l, ventas l, precio d2, hist s", STATE_SQL, REPLAY)
+JOB_WINDOWS, JOB_LEAD = 4, 2
+#: The job step by step: what each window's events say of a key, then stock and the open transit from window to window.
+JOB = f"""
+evn AS (
+  SELECT *, CAST(floor((row_number() OVER (ORDER BY ts, evento_id) - 1) / ceil((SELECT count(*) FROM ev) / {JOB_WINDOWS})) + 1
+    AS BIGINT) AS v FROM ev
+),
+evs AS (
+  SELECT *, count(*) FILTER (tipo_evento = 'INVENTORY') OVER (PARTITION BY pais, codigo_sku, v) AS tomas,
+    count(*) FILTER (tipo_evento = 'INVENTORY') OVER (PARTITION BY pais, codigo_sku, v ORDER BY ts, evento_id
+      ROWS UNBOUNDED PRECEDING) AS toma FROM evn
+),
+steps AS (
+  SELECT pais, codigo_sku, estado, v FROM (SELECT pais, codigo_sku, min(estado) AS estado, min(v) AS v0 FROM evn GROUP BY ALL)
+  JOIN (SELECT DISTINCT v FROM evn) ON v >= v0
+),
+acc AS (
+  SELECT p.pais, p.codigo_sku, p.estado, p.v, coalesce(sum(value) FILTER (tipo_evento = 'SALES'), 0) AS ventas,
+    coalesce(sum(value) FILTER (tipo_evento = 'SALES' AND e.v = p.v), 0) AS vendidas,
+    max(value) FILTER (tipo_evento = 'INVENTORY' AND e.v = p.v AND toma = tomas) AS foto,
+    coalesce(sum(value) FILTER (tipo_evento = 'SALES' AND e.v = p.v AND toma = tomas), 0) AS tras_foto,
+    coalesce(arg_max(precio_unitario, {{'t': ts, 'e': evento_id}}) FILTER (tipo_evento = 'SALES'), 0) AS precio,
+    coalesce((list(value ORDER BY ts, evento_id) FILTER (tipo_evento = 'SALES'))[-13:], []) AS historial
+  FROM steps p JOIN evs e ON e.pais = p.pais AND e.codigo_sku = p.codigo_sku AND e.v <= p.v GROUP BY ALL
+),
+dem AS (
+  SELECT *, greatest(CASE WHEN len(historial) >= 2 THEN list_avg(historial[-4:]) ELSE 0 END / 7, ventas / 30) AS diaria,
+    CASE WHEN len(historial) >= 4 THEN list_avg(historial[-4:]) ELSE 1.0 END AS semanal FROM acc
+),
+sim AS (
+  WITH RECURSIVE s AS (
+    SELECT pais, codigo_sku, min(v) - 1 AS v, CAST(0 AS BIGINT) AS stock, CAST(0 AS BIGINT) AS sin_venta,
+      CAST(NULL AS BIGINT) AS llegada, CAST(NULL AS BIGINT) AS cantidad FROM dem GROUP BY ALL
+    UNION ALL
+    SELECT pais, codigo_sku, v, CAST(tras AS BIGINT), CAST(sin_venta AS BIGINT),
+      CAST(CASE WHEN pedir > 0 THEN v + {JOB_LEAD} WHEN abierto THEN llegada END AS BIGINT),
+      CAST(CASE WHEN pedir > 0 THEN pedir WHEN abierto THEN cantidad END AS BIGINT)
+    FROM (
+      SELECT *, CASE WHEN estado <> 'EOL' AND NOT abierto AND ((antes = 0 AND ventas > 0) OR (doh > 0 AND doh < 7)) THEN
+        least(greatest(0, trunc(semanal * 4 - greatest(0, tras - greatest(1, semanal * ({JOB_LEAD} / (7 * 24 * 3600 / 3)))))),
+          trunc(semanal * 8)) ELSE 0 END AS pedir
+      FROM (
+        SELECT *, antes + CASE WHEN llegada <= v THEN cantidad ELSE 0 END AS tras, coalesce(llegada > v, FALSE) AS abierto,
+          CASE WHEN diaria > 0 THEN round_even(antes / diaria * 10, 0) / 10 ELSE 999 END AS doh
+        FROM (
+          SELECT d.*, s.llegada, s.cantidad, CASE WHEN vendidas > 0 THEN 0 ELSE s.sin_venta + 1 END AS sin_venta,
+            CASE WHEN foto IS NOT NULL THEN greatest(0, foto - tras_foto) ELSE greatest(0, s.stock - vendidas) END AS antes
+          FROM s JOIN dem d ON d.pais = s.pais AND d.codigo_sku = s.codigo_sku AND d.v = s.v + 1)))
+  )
+  SELECT * FROM s
+)"""
+
+
+@query("str_01_09_19_20_job", f"ventana l, {KEY}, stock l, ventas l, precio d2, hist s, sin_venta l, llegada l, cantidad l", """
+SELECT d.*, d.v AS ventana, stock, sin_venta, llegada, cantidad, array_to_string(historial, ',') AS hist
+FROM sim s JOIN dem d ON d.pais = s.pais AND d.codigo_sku = s.codigo_sku AND d.v = s.v""", JOB)
 def _(t):
-    no_orders = rules.StreamParams(cover_weeks=0)  # arrivals would change the stock the twin computes
-    job = StreamJob(t.spark, _run_dir(t, "job"), no_orders)
-    job.start(_event_stream(t), _run_dir(t, "job-state")).awaitTermination()
-    last = job.table("estado")
-    newest = last.agg(F.max("ventana")).first()[0]
-    return _with_hist(last.filter(F.col("ventana") == newest))
+    topic = _run_dir(t, "topic")
+    size = -(-t.events.count() // JOB_WINDOWS)
+    ev.export_batches(ev.with_count_window(t.events, size, "lote"), topic, "lote", range(1, JOB_WINDOWS + 1))
+    job = StreamJob(t.spark, _run_dir(t, "job"), rules.StreamParams(lead_windows=JOB_LEAD))
+    # Without a delay there is no watermark, whose advance would run a window without events.
+    job.start(ev.once(ev.valid_events(ev.line_stream(t.spark, topic))), _run_dir(t, "job-state")).awaitTermination()
+    coming = F.get("en_camino", F.lit(0))  # a key has one open transit at most
+    return _with_hist(job.table("estado")).withColumns({"llegada": coming["llegada"], "cantidad": coming["cantidad"]})
 
 
 @query("snk_05_tablas_del_job", "tabla s, ventanas l, filas l")

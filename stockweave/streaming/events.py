@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,12 +113,18 @@ def as_lines(events: DataFrame) -> DataFrame:
 def export_lines(events: DataFrame, folder: str, files: int) -> None:
     """Write events as JSON lines over ``files`` files for replay, one file per micro-batch.
 
-    The files are written one after the other because a stream takes files by age; each
-    holds the next range of the event order.
+    Each file holds the next range of the event order.
+    """
+    export_batches(sliced(events, [], ORDER, files), folder, "_slice", range(files))
+
+
+def export_batches(events: DataFrame, folder: str, batch: str, numbers: Iterable[int]) -> None:
+    """Write a file of JSON lines for each number of the column ``batch``, which is left out.
+
+    The files are written one after the other because a stream takes files by age.
     """
-    rows = sliced(events, [], ORDER, files)
-    for i in range(files):
-        part = rows.filter(F.col("_slice") == i).drop("_slice").coalesce(1).sortWithinPartitions(*ORDER)
+    for i in numbers:
+        part = events.filter(F.col(batch) == i).drop(batch).coalesce(1).sortWithinPartitions(*ORDER)
         as_lines(part).write.mode("append").text(folder)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,15 @@ class StreamJob:
         return self.initial if self.initial is not None else fold.empty_state(self.spark)
 
     def process(self, events: DataFrame, batch_id: int) -> None:
-        p, window = self.params, batch_id + 1
+        """One window. The fold reads the batch several times, so it is kept, not taken from the source again."""
+        events = events.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._window(events, batch_id + 1)
+        finally:
+            events.unpersist()
+
+    def _window(self, events: DataFrame, window: int) -> None:
+        p = self.params
         stamp = F.current_timestamp()
         state = self._store(
             fold.folded(self._previous(window), events, p, self.idle), "estado_previo", window, stamp).drop("timestamp")
