@@ -27,6 +27,8 @@ U = np.uint64
 #: Odd multipliers of the substring hash.
 MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)]
 GRAM = 8 * len(MULTIPLIERS)
+#: Low bits of a hash that give way to the place; the same for texts of all lengths.
+PLACE_BITS = U(32)
 
 
 def words_at(data: bytes) -> np.ndarray:
@@ -37,7 +39,8 @@ def words_at(data: bytes) -> np.ndarray:
 def window_anchors(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window the place of the least hash of its substrings of GRAM bytes, and that hash.
 
-    Of equal ones the leftmost counts, so two windows with one place are never equal.
+    Of those that agree in the upper bits the leftmost counts, so two windows with one place are
+    never equal, and equal windows have their places alike, however long their texts are.
     """
     at, n = words_at(data), len(data) - GRAM + 1
     h = at[:n] * MULTIPLIERS[0]
@@ -46,13 +49,12 @@ def window_anchors(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
         h += at[8 * j : 8 * j + n]
         h *= m
         h ^= h >> U(32)
-    bits = U(n.bit_length())  # the place goes below the hash's upper bits
-    low = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
+    low = (h >> PLACE_BITS << PLACE_BITS) | np.arange(n, dtype=np.uint64)
     width, count, step = size - GRAM + 1, len(data) - size + 1, 1
     while 2 * step <= width:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    place = (np.minimum(low[:count], low[width - step : width - step + count]) & ((U(1) << bits) - U(1))).astype(np.int64)
+    place = (np.minimum(low[:count], low[width - step : width - step + count]) & ((U(1) << PLACE_BITS) - U(1))).astype(np.int64)
     return place, h
 
 
