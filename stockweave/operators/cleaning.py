@@ -137,7 +137,11 @@ def not_muted(state: Column, muted: Iterable[str] = ("EOL",)) -> Column:
 
 
 def step_counts(df: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:
-    """Rows removed by each row filter, from one scan of typed movements."""
+    """Rows removed by each row filter and as copies, from one scan of typed movements.
+
+    Counted by the first test that fails, or else by the copy keys, so a key or a reason of a third
+    of all rows shuffles one row per task. Task retries don't change the counts.
+    """
     price = safe_ratio(F.col("COSTO"), F.col("VALUE"))
     day = date_from_key(F.col("FECHA_VENTA_INVENTARIO"))
     has_required = F.lit(True)
@@ -151,15 +155,15 @@ def step_counts(df: DataFrame, params: CleaningParams = CleaningParams()) -> Dat
         ("fecha_minima", F.coalesce(day >= F.lit(params.date_min), F.lit(False))),
         ("fecha_corte", F.coalesce(day < F.lit(params.date_cut), F.lit(False))),
     ]
-    flags = df.select(*[t.alias(n) for n, t in tests])
-    aggs, alive = [], F.lit(True)
-    for name, _ in tests:
-        aggs.append(F.count_if(alive & ~F.col(name)).alias(name))
-        alive = alive & F.col(name)
-    aggs.append(F.count_if(alive).alias("restantes"))
-    one = flags.agg(*aggs)
-    names = [n for n, _ in tests] + ["restantes"]
-    pairs = F.array(*[F.struct(F.lit(n).alias("PASO"), F.col(n).alias("FILAS")) for n in names])
+    keys = [c for c in COPY_KEYS if c in df.columns]
+    failed = F.coalesce(*[F.when(~t, F.lit(n)) for n, t in tests]).alias("_failed")
+    rows = df.select(failed, *keys).select("_failed", F.when(F.col("_failed").isNull(), F.struct(*keys)).alias("_key"))
+    groups = rows.groupBy("_failed", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    alive, names = F.col("_failed").isNull(), [n for n, _ in tests]
+    one = groups.agg(
+        *[F.sum(F.when(F.col("_failed") == n, F.col("_n"))).alias(n) for n in names],
+        F.sum(F.when(alive, F.col("_n") - 1)).alias("copias"), F.count_if(alive).alias("restantes"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("PASO"), F.coalesce(n, F.lit(0)).alias("FILAS")) for n in one.columns])
     return one.select(F.inline(pairs))
 
 

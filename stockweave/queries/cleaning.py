@@ -61,6 +61,10 @@ WITH f AS (
     CAST(try_strptime(CAST(CAST(FECHA_VENTA_INVENTARIO AS BIGINT) AS VARCHAR), '%Y%m%d') AS DATE) AS d FROM typed
 ), g AS (
   SELECT *, a AND b AS ab, a AND b AND COSTO / nullif(VALUE, 0) > 1 AS abc FROM f
+), k AS (
+  SELECT * FROM g WHERE abc AND d >= DATE '1996-01-01' AND d < DATE '2001-07-01'
+), u AS (
+  SELECT DISTINCT PAIS, FECHA_VENTA_INVENTARIO, TIPO_TRANSACCION, CODIGO_SKU, CODIGO_BODEGA, VALUE, COSTO FROM k
 )
 SELECT 'tipos' AS PASO, count(*) FILTER (NOT a) AS FILAS FROM g
 UNION ALL SELECT 'nulos_ceros', count(*) FILTER (a AND NOT b) FROM g
@@ -68,7 +72,8 @@ UNION ALL SELECT 'precio', count(*) FILTER (ab AND NOT abc) FROM g
 UNION ALL SELECT 'fecha_invalida', count(*) FILTER (abc AND d IS NULL) FROM g
 UNION ALL SELECT 'fecha_minima', count(*) FILTER (abc AND d < DATE '1996-01-01') FROM g
 UNION ALL SELECT 'fecha_corte', count(*) FILTER (abc AND d >= DATE '2001-07-01') FROM g
-UNION ALL SELECT 'restantes', count(*) FILTER (abc AND d >= DATE '1996-01-01' AND d < DATE '2001-07-01') FROM g""")
+UNION ALL SELECT 'copias', count(*) - (SELECT count(*) FROM u) FROM k
+UNION ALL SELECT 'restantes', count(*) FROM u""")
 def _(t):
     return cleaning.step_counts(cleaning.typed(t.raw), PARAMS)
 

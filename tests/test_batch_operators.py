@@ -42,7 +42,7 @@ def test_values_prices_and_types(spark):
     assert sorted(r.CODIGO_SKU for r in clean_fact(df, fill_gaps=False).collect()) == ["LOWER", "OK"]
     counts = {r.PASO: r.FILAS for r in cleaning.step_counts(cleaning.typed(df)).collect()}
     assert counts == {"tipos": 1, "nulos_ceros": 4, "precio": 1, "fecha_invalida": 0, "fecha_minima": 0, "fecha_corte": 0,
-                      "restantes": 2}
+                      "copias": 0, "restantes": 2}
 
 
 def test_zero_stock_is_kept_on_request(spark):
@@ -56,6 +56,10 @@ def test_first_file_wins_among_copies(spark):
     df = raw(spark, [movement(FILE="b", CANAL="two"), movement(FILE="a", CANAL="one"), movement(FILE="a", CANAL="zzz")])
     out = clean_fact(df, fill_gaps=False).collect()
     assert [(r.SOURCE_FILE, r.CANAL) for r in out] == [("A", "ONE")]
+    counts = {r.PASO: r.FILAS for r in cleaning.step_counts(cleaning.typed(df)).collect()}
+    assert (counts["copias"], counts["restantes"]) == (2, 1)
+    none = {r.PASO: r.FILAS for r in cleaning.step_counts(cleaning.typed(df.limit(0))).collect()}
+    assert set(none.values()) == {0}
 
 
 def stock(spark, rows):
