@@ -110,11 +110,16 @@ def as_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*[f.name for f in EVENT_SCHEMA if f.name in events.columns])).alias("value"))
 
 
-def export_lines(events: DataFrame, folder: str, files: int) -> None:
-    """Write events as JSON lines over ``files`` files for replay, one file per micro-batch.
+def export_lines(events: DataFrame, folder: str, files: int | None = None) -> None:
+    """Write events as JSON lines for replay, each file the next range of the event order.
 
-    Each file holds the next range of the event order.
+    ``files`` for a stream: so many, one per micro-batch and task. Without it the ranges are those of a
+    shuffle and all written at once, for a batch that doesn't ask for the files' age.
     """
+    if files is None:
+        n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        as_lines(events.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)).write.mode("append").text(folder)
+        return
     export_batches(sliced(events, [], ORDER, files), folder, "_slice", range(files))
 
 
