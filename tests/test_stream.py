@@ -330,3 +330,21 @@ def test_lowest_hashes_are_those_of_the_whole_order(spark):
     same = spark.range(3000).select(F.lit(1).alias("a"))  # all rows share one hash
     assert ev.lowest_hashes(same, 10).count() == 10
     assert ev.lowest_hashes(same.limit(0), 10).count() == 0 and ev.lowest_hashes(same, 0).count() == 0
+
+
+def test_a_batch_export_is_many_files_of_the_whole_order(spark, tmp_path):
+    events = frame(spark, [event(i) for i in range(200)])
+    ev.export_lines(events, str(tmp_path / "x"))
+    assert len(list((tmp_path / "x").glob("part-*.txt"))) > 1
+    back = ev.valid_events(spark.read.text(str(tmp_path / "x")))
+    assert sorted(r.evento_id for r in back.collect()) == [f"e{i:06d}" for i in range(200)]
+
+
+def test_windows_of_one_long_state_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(replay, "STRETCH", 10)
+    rows = [("PY", "1", 3, None), ("PY", "2", 1, 1), ("PY", "2", 2, 95)]
+    states = spark.createDataFrame(rows, "pais string, codigo_sku string, ventana bigint, hasta bigint").coalesce(1)
+    out = replay.in_every_window(states, F.lit(100).cast("bigint"))
+    got = sorted((r.codigo_sku, r.ventana) for r in out.collect())
+    assert got == sorted([("1", w) for w in range(3, 101)] + [("2", w) for w in range(1, 96)])
+    assert out.filter("codigo_sku = '1'").groupBy(F.spark_partition_id()).count().count() > 1
