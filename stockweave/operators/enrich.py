@@ -9,12 +9,13 @@ from ..functions import clean_text
 from ..schemas import DEVICE_COLUMNS, WAREHOUSE_COLUMNS
 from .cleaning import first_of_copies
 from .columns import canonical_columns, with_missing
+from .slices import dealt
 
 
 def catalogue(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """Normalised catalogue, one row per (PAIS, key); rows without either are dropped."""
     out = with_missing(canonical_columns(df), columns)
-    out = out.withColumns({c: clean_text(F.col(c)) for c in columns})
+    out = dealt(out, columns).withColumns({c: clean_text(F.col(c)) for c in columns})
     if "SOURCE_COUNTRY" in out.columns:
         out = out.withColumn("PAIS", F.coalesce("PAIS", clean_text(F.col("SOURCE_COUNTRY"))))
     order = [c for c in ["SOURCE_FILE"] if c in out.columns]

@@ -31,6 +31,16 @@ def sliced(df: DataFrame, keys: list[str], order: list[str | Column], slices: in
     return frozen(out)
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows over as many tasks as a shuffle has, so that what sorts them next holds a share of its own.
+
+    A compressed file is few scan tasks however many rows it gives. Copies of a key go by the task
+    they come from, too: a key of a third of the rows is not one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("_from", F.spark_partition_id()).repartition(n, "_from", *keys).drop("_from")
+
+
 def with_running(
     rows: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Running]
 ) -> DataFrame:

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.operators import cleaning, gapfill, outliers, ranking
-from stockweave.operators.enrich import filled_from
+from stockweave.operators.enrich import device_catalogue, filled_from
 from stockweave.operators.quantiles import exact_quantiles
-from stockweave.operators.slices import Running, sliced, with_row_number, with_running
+from stockweave.operators.slices import Running, dealt, sliced, with_row_number, with_running
 from stockweave.plans.clean_fact import clean_fact
 from stockweave.schemas import CleaningParams
 
@@ -207,3 +207,16 @@ def test_to_number_takes_no_type_suffix(spark):
     texts = ["5d", "7F", " 5 ", "-1.5e3", ".5", "3.", "x", "", None, "0x1", "nan"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", to_number(F.col("t")).alias("v"))
     assert [r["v"] for r in got.orderBy("i").collect()] == [None, None, 5.0, -1500.0, 0.5, 3.0, None, None, None, None, None]
+
+
+def test_catalogue_rows_of_one_scan_task_are_sorted_by_many(spark):
+    rows = [("PY", str(i % 50), "a") for i in range(400)] + [("PY", "hot", "b")] * 400 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "Country string, SKU string, Brand string").coalesce(1)
+    spread = dealt(df, ["Country", "SKU"])
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and sum(sizes) == len(rows)
+    wide = dealt(spark.createDataFrame(rows[400:800], df.schema).repartition(8), ["SKU"])  # one key from eight tasks
+    assert wide.groupBy(F.spark_partition_id()).count().count() > 1
+    plan = device_catalogue(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert device_catalogue(df).count() == 51
