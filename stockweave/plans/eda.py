@@ -147,8 +147,13 @@ def year_week_pivot(weekly: DataFrame) -> DataFrame:
 
 
 def with_devices(df: DataFrame, devices: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on the given keys; on the SKU alone a SKU listed in two countries fans out."""
-    return df.join(devices.select(*keys, *[c for c in devices.columns if c not in df.columns]), keys, "left")
+    """Left join on the given keys; on the SKU alone a SKU listed in two countries fans out.
+
+    Both sides are grouped, so the merge costs little; the optimizer takes a catalogue for as large
+    as its compressed file and would broadcast millions of rows.
+    """
+    listed = devices.select(*keys, *[c for c in devices.columns if c not in df.columns])
+    return df.join(listed.hint("merge"), keys, "left")
 
 
 def cost_summary(df: DataFrame) -> DataFrame:
