@@ -10,10 +10,10 @@ from .quantiles import exact_quantiles
 
 
 def iqr_bounds(
-    df: DataFrame, keys: list[str], value: str, factor: float = 1.5, repeat: str | None = None
+    df: DataFrame, keys: list[str], value: str, factor: float = 1.5, repeat: str | None = None, few: bool = False
 ) -> DataFrame:
     """N, Q1, Q3 and the lower / upper bound per key."""
-    q = exact_quantiles(df, keys, value, {"Q1": 0.25, "Q3": 0.75}, repeat=repeat)
+    q = exact_quantiles(df, keys, value, {"Q1": 0.25, "Q3": 0.75}, repeat=repeat, few=few)
     spread = F.col("Q3") - F.col("Q1")
     return q.withColumns({
         "LIM_INF": F.col("Q1") - factor * spread,
@@ -26,7 +26,7 @@ def price_bounds(
 ) -> DataFrame:
     """Bounds per movement type; types with few prices or no spread have no row."""
     known = df.filter(F.col("TIPO_TRANSACCION").isin(list(params.types)))
-    bounds = iqr_bounds(known, ["TIPO_TRANSACCION"], "PRECIO_UNITARIO", params.iqr_factor, repeat)
+    bounds = iqr_bounds(known, ["TIPO_TRANSACCION"], "PRECIO_UNITARIO", params.iqr_factor, repeat, few=True)
     usable = (F.col("N") >= params.iqr_min_rows) & (F.col("Q3") > F.col("Q1"))
     return bounds.filter(usable).withColumn("LIM_INF", F.greatest("LIM_INF", F.lit(0.0)))
 

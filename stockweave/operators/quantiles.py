@@ -15,6 +15,7 @@ def exact_quantiles(
     probs: dict[str, float],
     accuracy: int = 10_000,
     repeat: str | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """One row per key: ``N`` values and one column per named probability.
 
@@ -23,8 +24,10 @@ def exact_quantiles(
     is ranked and never the result. The distinct values inside the checked brackets are ranked
     over range slices: a bracket of any size is spread over tasks.
 
-    ``repeat`` names a column by which each row stands for that many equal rows; it must be
-    the same for all rows of a key.
+    ``repeat`` names a column by which each row stands for that many equal rows. The sketch
+    doesn't know it: where it differs among the rows of a key, more values are ranked.
+    ``few``: the keys are types, tiers or brands, whose rows are broadcast; shuffled by so few
+    values, the counted values of a key would be one task.
     """
     keys = list(keys)
     times = F.col(repeat).cast("bigint") if repeat else F.lit(1).cast("bigint")
@@ -57,7 +60,7 @@ def exact_quantiles(
     def rows_where(test):
         return F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0))
 
-    counted = _of_group(counts, guesses, keys).select(*keys, "N", "_v", "_n", F.explode("_b").alias("b"))
+    counted = _of_group(counts, guesses, keys, few).select(*keys, "N", "_v", "_n", F.explode("_b").alias("b"))
     counted = counted.groupBy(*keys, "N", "b").agg(
         rows_where(F.col("_v") < F.col("b.lo")).alias("below"),
         rows_where(F.col("_v") <= F.col("b.hi")).alias("upto"))
@@ -71,7 +74,7 @@ def exact_quantiles(
     def holds(b):
         return (b["lo"].isNull() | (F.col("_v") >= b["lo"])) & (b["hi"].isNull() | (F.col("_v") <= b["hi"]))
 
-    inside = _of_group(counts, brackets, keys).select(*keys, "N", "_v", "_n", F.explode(F.filter("_b", holds)).alias("b"))
+    inside = _of_group(counts, brackets, keys, few).select(*keys, "N", "_v", "_n", F.explode(F.filter("_b", holds)).alias("b"))
     # A struct of the keys compares null keys as equal.
     group = F.struct(*keys, "b.q").alias("_g")
     cut = sliced(inside.select(*keys, "N", "_v", "_n", "b", group), ["_g"], ["_v"])
@@ -87,11 +90,11 @@ def exact_quantiles(
     )
 
 
-def _of_group(counts: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def _of_group(counts: DataFrame, groups: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """Counted values with ``N`` and ``_b`` of their group, null keys included."""
     if not keys:
         whole = groups.select(F.struct("N", "_b").alias("_w")).scalar()
         return counts.withColumn("_w", whole).select("_v", "_n", "_w.N", "_w._b")
     renamed = groups.withColumnsRenamed({c: f"_r_{c}" for c in keys})
     on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
-    return counts.join(renamed, on).drop(*[f"_r_{c}" for c in keys])
+    return counts.join(F.broadcast(renamed) if few else renamed, on).drop(*[f"_r_{c}" for c in keys])

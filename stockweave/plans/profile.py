@@ -87,13 +87,13 @@ def lowest_values(df: DataFrame, column: str, n: int = 20, groups: list[str] | N
 
 
 def describe(df: DataFrame, column: str, groups: list[str], probs: dict[str, float] | None = None) -> DataFrame:
-    """Count, mean, deviation, extremes and exact percentiles per group."""
+    """Count, mean, deviation, extremes and exact percentiles per group; groups are types or columns, few of them."""
     probs = probs or {"P50": 0.5, "P90": 0.9, "P95": 0.95, "P99": 0.99}
     base = df.groupBy(*groups).agg(
         F.count(column).alias("N"), F.avg(column).alias("MEDIA"), F.stddev_samp(column).alias("DESV"),
         F.min(column).alias("MINIMO"), F.max(column).alias("MAXIMO"),
     )
-    ranks = exact_quantiles(df, groups, column, probs).drop("N")
+    ranks = exact_quantiles(df, groups, column, probs, few=True).drop("N")
     if groups:
         return base.join(ranks, groups, "left")
     point = ranks.select(F.struct(*probs)).scalar()
@@ -115,16 +115,21 @@ def describe_texts(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("COLUMNA", "N", "UNICOS", F.col("t.VALOR").alias("TOPE"), F.col("t.n").alias("FRECUENCIA"))
 
 
-def box_plot(df: DataFrame, column: str, groups: list[str], factor: float = 1.5) -> DataFrame:
-    """Quartiles and whiskers: the extreme values within ``factor`` spreads of the box."""
-    q = exact_quantiles(df, groups, column, {"Q1": 0.25, "MEDIANA": 0.5, "Q3": 0.75})
+def box_plot(df: DataFrame, column: str, groups: list[str], factor: float = 1.5, repeat: str | None = None) -> DataFrame:
+    """Quartiles and whiskers: the extreme values within ``factor`` spreads of the box.
+
+    The boxes of a plot are few, so they are broadcast. ``repeat`` names a column by which each
+    row stands for that many equal rows.
+    """
+    q = exact_quantiles(df, groups, column, {"Q1": 0.25, "MEDIANA": 0.5, "Q3": 0.75}, repeat=repeat, few=True)
     spread = F.col("Q3") - F.col("Q1")
     box = q.withColumns({"_lo": F.col("Q1") - factor * spread, "_hi": F.col("Q3") + factor * spread})
     inside = F.col(column).between(F.col("_lo"), F.col("_hi"))
-    ends = df.join(box.select(*groups, "_lo", "_hi"), groups).groupBy(*groups).agg(
+    times = F.col(repeat).cast("bigint") if repeat else F.lit(1).cast("bigint")
+    ends = df.join(F.broadcast(box.select(*groups, "_lo", "_hi")), groups).groupBy(*groups).agg(
         F.min(F.when(inside, F.col(column))).alias("BIGOTE_INF"),
         F.max(F.when(inside, F.col(column))).alias("BIGOTE_SUP"),
-        F.count_if(~inside).alias("ATIPICOS"),
+        F.coalesce(F.sum(F.when(~inside, times)), F.lit(0)).alias("ATIPICOS"),
     )
     return box.drop("_lo", "_hi").join(ends, groups)
 

@@ -219,3 +219,25 @@ def test_batch_view_holds_the_last_seen_value(spark):
     df = spark.createDataFrame([(i, i * 10) for i in range(1, 8)], "ventana int, stockouts int")
     got = [r.stockouts_batch for r in dashboard.batch_view(df, 3).orderBy("ventana").collect()]
     assert got == [None, None, 30, 30, 30, 60, 60]
+
+
+def test_devices_are_merged_whatever_size_the_optimizer_takes_them_for(spark):
+    devices = spark.createDataFrame([("PY", "1", "X"), ("PY", "2", "Y")], "PAIS string, CODIGO_SKU string, MODELO string")
+    totals = eda.sales_by_sku(table(spark, [sale(sku="1"), sale(sku="3")]))
+    out = eda.with_devices(totals, devices, ["PAIS", "CODIGO_SKU"])
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.CODIGO_SKU, r.MODELO) for r in out.collect()) == [("1", "X"), ("3", None)]
+
+
+def test_box_of_rows_that_stand_for_many(spark):
+    rows = [("A", 1.0, 3), ("A", 2.0, 1), ("A", 4.0, 2), ("A", 90.0, 2), ("B", 5.0, 1), (None, 7.0, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, n bigint")
+    single = df.select("g", "v", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    weighted, plain = profile.box_plot(df, "v", ["g"], repeat="n"), profile.box_plot(single, "v", ["g"])
+    assert sorted(map(tuple, weighted.collect())) == sorted(map(tuple, plain.collect()))
+    assert {r.g: r.ATIPICOS for r in weighted.collect()} == {"A": 2, "B": 0}
+
+
+def test_boxes_are_broadcast(spark):
+    out = profile.box_plot(table(spark, [sale(price=p) for p in (1, 2, 3, 50)]), "PRECIO_UNITARIO", ["TIER"])
+    assert "strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()
