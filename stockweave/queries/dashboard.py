@@ -147,7 +147,7 @@ def _(t):
 
 
 @query("flt_09_caja_doh_marca", "marca s, N l, Q1 d6, MEDIANA d6, Q3 d6, BIGOTE_INF d6, BIGOTE_SUP d6, ATIPICOS l", """
-WITH d AS (SELECT * FROM lastk WHERE doh < 200),
+WITH d AS (SELECT * FROM kw WHERE doh < 200),
 q AS (SELECT marca, count(doh) AS N, quantile_cont(doh, 0.25) AS Q1, quantile_cont(doh, 0.5) AS MEDIANA, quantile_cont(doh, 0.75) AS Q3
   FROM d GROUP BY 1),
 s AS (SELECT d.marca, doh, q.* EXCLUDE (marca), doh BETWEEN Q1 - 1.5 * (Q3 - Q1) AND Q3 + 1.5 * (Q3 - Q1) AS i FROM d JOIN q ON d.marca = q.marca)
@@ -156,7 +156,9 @@ SELECT marca, N, Q1, MEDIANA, Q3, min(doh) FILTER (i) AS BIGOTE_INF, max(doh) FI
 def _(t):
     from ..plans.profile import box_plot
 
-    return box_plot(_last(t).filter("doh < 200"), "doh", ["marca"])
+    # A state is its key's in each window from ``ventana`` to ``fin``.
+    states = _lasting(_states(t)).withColumn("veces", F.col("fin") - F.col("ventana") + 1)
+    return box_plot(states.filter("doh < 200"), "doh", ["marca"], repeat="veces")
 
 
 @query("agg_41_cobertura", "ok l, sin_cobertura l",
