@@ -1,9 +1,9 @@
 """Gradient boosting of squared error with L1 and L2 terms, as a pipeline stage.
 
 The rows are cut into bins once and written to the shared folder as blocks of a matrix. A level
-of a tree is one job: each task adds up gradients and rows per node, feature and bin, the sums
-are merged in a tree of tasks, and the driver, which holds no rows, takes the best split of each node.
-A sum has 2**level * features * bins cells whatever the rows are. Every ``REFRESH`` rounds the
+of a tree is one job: each task adds up gradients and rows per node, feature and bin, the sums are dealt
+out by feature, the task that has all of a feature's finds its best cut of each node, and the driver,
+which holds no rows and no sums, takes the best feature. A feature's sum has 2**level * bins cells whatever the rows are. Every ``REFRESH`` rounds the
 predictions so far are written with the blocks, so neither lineage nor a task's work grows with the
 rounds, and a lost executor costs the tasks it had. The blocks are RDD rows because the sums are
 arrays that no aggregate function merges.
@@ -12,6 +12,7 @@ arrays that no aggregate function merges.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,7 +110,7 @@ def _opened(block, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _level_sums(blocks, trees, tree, level, features, width, share, seed):
-    """Of one task: gradients and rows by feature, node of the level and bin."""
+    """Of one task, for each feature's place among ``features``: the task, and gradients and rows by node of the level and bin."""
     nodes, total = 2**level, None
     for block in blocks:
         y, margin, bins = _opened(block, trees)
@@ -122,38 +123,61 @@ def _level_sums(blocks, trees, tree, level, features, width, share, seed):
             part[0, j] = np.bincount(cell, slope, nodes * width)
             part[1, j] = np.bincount(cell, minlength=nodes * width)
         total = part if total is None else total + part
-    return [] if total is None else [total.reshape(2, len(features), nodes, width)]
+    if total is None:
+        return []
+    task = TaskContext.get().partitionId()
+    return [(j, (task, total[:, j].reshape(2, nodes, width))) for j in range(len(features))]
 
 
 def _shrunk(g: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
 
 
-def grow(tree: Tree, level: int, sums: np.ndarray, features: list[int], s: BoostSettings) -> bool:
-    """Split the nodes of ``level`` where that gains; whether any was split."""
+def best_cuts(sums: np.ndarray, s: BoostSettings) -> np.ndarray:
+    """Of one feature, for each node: gain and bin of the best cut, gradients and rows left and right of it, and of the node."""
 
     def worth(g, h):
         return _shrunk(g, s.l1) ** 2 / (h + s.l2)
 
-    nodes, first = 2**level, 2**level - 1
-    left, whole = sums.cumsum(axis=3)[..., :-1], sums.sum(axis=3, keepdims=True)
+    left, whole = sums.cumsum(axis=2)[..., :-1], sums.sum(axis=2, keepdims=True)
+    nodes = np.arange(sums.shape[1])
+    if not left.shape[2]:
+        none = np.zeros(len(nodes))
+        return np.column_stack([none - np.inf, *[none] * 5, *whole[..., 0]])
     right = whole - left
     gain = (worth(*left) + worth(*right) - worth(*whole)) / 2
     gain[(left[1] < s.min_rows) | (right[1] < s.min_rows)] = -np.inf
+    at = gain.argmax(axis=1)
+    return np.column_stack([gain[nodes, at], at, *left[:, nodes, at], *right[:, nodes, at], *whole[..., 0]])
+
+
+def _merged(pairs, s: BoostSettings):
+    """``best_cuts`` of the features of a task; the sums of the tasks before it are added in their order."""
+    parts = {}
+    for j, part in pairs:
+        parts.setdefault(j, []).append(part)
+    for j, found in parts.items():
+        found.sort(key=lambda p: p[0])
+        total = found[0][1].copy()
+        for _, more in found[1:]:
+            total += more
+        yield j, best_cuts(total, s)
+
+
+def grow(tree: Tree, level: int, cuts: list[np.ndarray], features: list[int], s: BoostSettings) -> bool:
+    """Split the nodes of ``level`` where that gains, by the ``best_cuts`` of each feature; whether any was split."""
+    first, found = 2**level - 1, False
+    table = np.stack(cuts)  # feature, node, field
     if level == 0:
-        g, h = whole[:, 0, 0, 0]
+        g, h = table[0, 0, 6:]
         tree.value[0] = -s.step * _shrunk(g, s.l1) / (h + s.l2)
-    flat = gain.transpose(1, 0, 2).reshape(nodes, -1)
-    if not flat.shape[1]:
-        return False
-    found = False
-    for k, best in enumerate(flat.argmax(axis=1)):
-        if not flat[k, best] > LEAST_GAIN:
+    for k, j in enumerate(table[:, :, 0].argmax(axis=0)):
+        gain, b, *sides = table[j, k, :6]
+        if not gain > LEAST_GAIN:
             continue
-        found, (j, b), at = True, divmod(int(best), left.shape[3]), first + k
-        tree.feature[at], tree.cut[at], tree.gain[at] = features[j], b, flat[k, best]
-        for child, side in ((2 * at + 1, left), (2 * at + 2, right)):
-            g, h = side[:, j, k, b]
+        found, at = True, first + k
+        tree.feature[at], tree.cut[at], tree.gain[at] = features[j], b, gain
+        for child, (g, h) in ((2 * at + 1, sides[:2]), (2 * at + 2, sides[2:])):
             tree.value[child] = -s.step * _shrunk(g, s.l1) / (h + s.l2)
     return found
 
@@ -189,8 +213,11 @@ def fit_trees(train: DataFrame, s: BoostSettings) -> tuple[float, list[Tree]]:
             features, tree = sorted(chosen.tolist()), Tree.empty(s.depth)
             for level in range(s.depth):
                 task = (list(recent), tree, level, features, width, s.rows, (s.seed, turn))
-                parts = blocks.mapPartitions(lambda b, task=task: _level_sums(b, *task))
-                if not grow(tree, level, parts.treeReduce(np.add), features, s):
+                sums = blocks.mapPartitions(lambda b, task=task: _level_sums(b, *task))
+                if blocks.getNumPartitions() > 1:
+                    sums = sums.partitionBy(min(len(features), math.ceil(blocks.getNumPartitions() ** 0.5)), int)
+                cuts = dict(sums.mapPartitions(lambda p: _merged(p, s)).collect())
+                if not grow(tree, level, [cuts[j] for j in range(len(features))], features, s):
                     break
             trees.append(tree)
             recent.append(tree)

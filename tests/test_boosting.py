@@ -95,3 +95,30 @@ def test_stage_scores_as_its_trees_and_needs_rows(spark):
     assert model.featureImportances.toArray().sum() == pytest.approx(1) and model.featureImportances.toArray().argmax() == 2
     with pytest.raises(ValueError, match="no training rows"):
         BoostedTrees("y").fit(rows.filter("y < 0"))
+
+
+def test_cuts_of_all_features_are_those_of_the_whole_search(spark):
+    """Merged by feature, in the order of the tasks, sums give the split that a search over all of them gives."""
+    rng = np.random.default_rng(3)
+    parts = [(task, rng.normal(size=(5, 2, 2, 6))) for task in (2, 0, 1)]
+    for _, part in parts:
+        part[:, 1] = rng.integers(1, 9, (5, 2, 6))
+    pairs = [(j, (task, part[j])) for task, part in parts for j in range(5)]
+    found = dict(boosting._merged(iter(pairs), WHOLE))
+    whole = sum(part for _, part in sorted(parts, key=lambda p: p[0]))
+    tree = boosting.Tree.empty(2)
+    assert boosting.grow(tree, 1, [found[j] for j in range(5)], [10, 11, 12, 13, 14], WHOLE)
+
+    def worth(v):
+        g, h = v.sum(axis=1)
+        return max(abs(g) - WHOLE.l1, 0) ** 2 / (h + WHOLE.l2) / 2
+
+    for k in range(2):
+        gain, j, b = max((worth(whole[j, :, k, :b + 1]) + worth(whole[j, :, k, b + 1:]) - worth(whole[j, :, k]), -j, -b)
+                         for j in range(5) for b in range(5))
+        assert (tree.feature[1 + k], tree.cut[1 + k]) == (10 - j, -b) and tree.gain[1 + k] == pytest.approx(gain)
+
+
+def test_one_constant_column_has_no_cut(spark):
+    base, (tree,) = fit_trees(table(spark, np.ones((9, 1)), np.arange(9.0)), WHOLE)
+    assert base == 4 and (tree.feature == -1).all() and tree.value[0] == 0
