@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean_text
 from ..schemas import DEVICE_COLUMNS, WAREHOUSE_COLUMNS
+from ..session import stored
 from .cleaning import first_of_copies
 from .columns import canonical_columns, with_missing
 from .slices import dealt
@@ -48,11 +49,16 @@ def filled_from(fact: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def enriched(fact: DataFrame, devices: DataFrame | None, warehouses: DataFrame | None) -> DataFrame:
+    """The fact with both catalogues' values.
+
+    The catalogues are stored first: of a plan the optimizer knows only the size of the compressed
+    files below it, by which it would broadcast millions of rows.
+    """
     out = fact
     if devices is not None:
-        out = filled_from(out, devices, ["PAIS", "CODIGO_SKU"])
+        out = filled_from(out, stored(devices, "devices"), ["PAIS", "CODIGO_SKU"])
     if warehouses is not None:
-        out = filled_from(out, warehouses, ["PAIS", "CODIGO_BODEGA"])
+        out = filled_from(out, stored(warehouses, "warehouses"), ["PAIS", "CODIGO_BODEGA"])
     return out
 
 

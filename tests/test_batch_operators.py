@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.operators import cleaning, gapfill, outliers, ranking
-from stockweave.operators.enrich import device_catalogue, filled_from
+from stockweave.operators.enrich import device_catalogue, enriched, filled_from
 from stockweave.operators.quantiles import exact_quantiles
 from stockweave.operators.slices import Running, dealt, sliced, with_row_number, with_running
 from stockweave.plans.clean_fact import clean_fact
@@ -220,3 +220,11 @@ def test_catalogue_rows_of_one_scan_task_are_sorted_by_many(spark):
     plan = device_catalogue(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
     assert device_catalogue(df).count() == 51
+
+
+def test_catalogues_are_joined_by_the_size_of_their_stored_rows(spark):
+    fact = spark.createDataFrame([("PY", "1", "B"), ("PY", "9", "B")], "PAIS string, CODIGO_SKU string, CODIGO_BODEGA string")
+    devices = device_catalogue(spark.createDataFrame([("py", "1", "x")], "Country string, SKU string, Brand string"))
+    out = enriched(fact, devices, None)
+    assert any("/devices-" in f for f in out.inputFiles())
+    assert sorted((r.CODIGO_SKU, r.MARCA) for r in out.collect()) == [("1", "X"), ("9", None)]
