@@ -5,14 +5,17 @@ of a tree is one job: each task adds up gradients and rows per node, feature and
 out by feature, the task that has all of a feature's finds its best cut of each node, and the driver,
 which holds no rows and no sums, takes the best feature. A feature's sum has 2**level * bins cells whatever the rows are. Every ``REFRESH`` rounds the
 predictions so far are written with the blocks, so neither lineage nor a task's work grows with the
-rounds, and a lost executor costs the tasks it had. The blocks are RDD rows because the sums are
-arrays that no aggregate function merges.
+rounds, and a lost executor costs the tasks it had. A Python worker keeps predictions and places of the
+blocks it saw last, so that a level costs a step and not the trees since the last write; another
+worker works them out from the block. The blocks are RDD rows because the sums are arrays that no
+aggregate function merges.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +34,10 @@ from ..session import discard, new_path
 
 #: Bins of a feature, so that a bin is one byte.
 BINS = 256
+#: Rows of a block at most, a partition's last batches aside.
+BLOCK_ROWS = 100_000
+#: Blocks whose progress a Python worker keeps.
+KEPT = 24
 #: Rounds between two writes of the predictions so far.
 REFRESH = 20
 #: A split must gain more than this.
@@ -70,11 +77,14 @@ class Tree:
         """The node of each column of ``x`` (features by rows) after ``depth`` levels."""
         node, rows = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
         for _ in range(depth):
-            split = self.feature[node]
-            below = 2 * node + 1 + (x[split, rows] > self.cut[node])
-            node = np.where(split < 0, node, below)
+            node = self.below(x, node, rows)
         return node
 
+    def below(self, x: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The nodes one level below ``node``; a leaf keeps its rows."""
+        split = self.feature[node]
+        return np.where(split < 0, node, 2 * node + 1 + (x[split, rows] > self.cut[node]))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.value[self.places(x, len(self.value).bit_length() - 1)]
 
@@ -86,13 +96,27 @@ def bin_edges(train: DataFrame, columns: list[str]) -> list[np.ndarray]:
 
 
 def binned(train: DataFrame, edges: list[np.ndarray], base: float) -> DataFrame:
-    """Blocks of the matrix, a row per Arrow batch of ``train`` (array x, double y)."""
+    """Blocks of the matrix, of whole Arrow batches of ``train`` (array x, double y) up to ``BLOCK_ROWS`` rows."""
+
+    def one(batch):
+        y = batch.column("y").to_numpy(zero_copy_only=False)
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(edges))
+        return y, np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)]).astype(np.uint8)
+
+    def grouped(batches):
+        parts, rows = [], 0
+        for part in map(one, batches):
+            if parts and rows + len(part[0]) > BLOCK_ROWS:
+                yield parts
+                parts, rows = [], 0
+            parts.append(part)
+            rows += len(part[0])
+        if parts:
+            yield parts
 
     def cut(batches):
-        for number, batch in enumerate(batches):
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(edges))
-            bins = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)]).astype(np.uint8)
+        for number, parts in enumerate(grouped(batches)):
+            y, bins = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
             row = [[TaskContext.get().partitionId()], [number], [y.tobytes()], [np.full(len(y), base).tobytes()], [bins.tobytes()]]
             types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["part", "number", "y", "margin", "bins"])
@@ -109,17 +133,61 @@ def _opened(block, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return y, margin, bins
 
 
-def _level_sums(blocks, trees, tree, level, features, width, share, seed):
+@dataclass
+class Progress:
+    """A block after ``trees`` trees of its fit, and its rows' places after ``level`` levels of the next; ``sample``
+    holds this round's rows with their bins and slopes, once drawn."""
+
+    trees: int
+    margin: np.ndarray
+    level: int = 0
+    node: np.ndarray | None = None
+    sample: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+
+#: The progress of the blocks that this Python worker saw last, by fit, part and number.
+_SEEN: dict[tuple[str, int, int], Progress] = {}
+
+
+def _progress(block, fit, done, trees, tree, level) -> tuple[Progress, np.ndarray, np.ndarray]:
+    """A block's progress, labels and bins after ``level`` levels of ``tree``; the block was written after ``done`` trees,
+    ``trees`` are those since then."""
+    key = (fit, block[0], block[1])
+    p = _SEEN.pop(key, None)
+    y, bins = np.frombuffer(block[2]), np.frombuffer(block[4], np.uint8)
+    bins, turn, rows = bins.reshape(-1, len(y)), done + len(trees), np.arange(len(y))
+    if p is None or not done <= p.trees <= turn or (p.trees == turn and p.level > level):
+        p = Progress(done, np.frombuffer(block[3]).copy())  # not seen, or a task that is run again
+    for grown, depth in [*((t, len(t.value).bit_length() - 1) for t in trees[p.trees - done:]), (tree, level)]:
+        node = np.zeros(len(y), np.int64) if p.node is None else p.node
+        for _ in range(p.level, depth):
+            node = grown.below(bins, node, rows)
+        if p.trees < turn:
+            p = Progress(p.trees + 1, p.margin + grown.value[node])
+        else:
+            p.level, p.node = level, node
+    for other in [k for k in _SEEN if k[0] != fit] + list(_SEEN)[: max(0, len(_SEEN) + 1 - KEPT)]:
+        _SEEN.pop(other, None)
+    _SEEN[key] = p
+    return p, y, bins
+
+
+def _level_sums(blocks, fit, done, trees, tree, level, features, width, share, seed):
     """Of one task, for each feature's place among ``features``: the task, and gradients and rows by node of the level and bin."""
     nodes, total = 2**level, None
     for block in blocks:
-        y, margin, bins = _opened(block, trees)
-        node = tree.places(bins, level) - (nodes - 1)
-        taken = np.random.default_rng((*seed, block[0], block[1])).random(len(y)) < share
-        taken = np.flatnonzero(taken & (node >= 0))
-        first, slope, part = node[taken] * width, (margin - y)[taken], np.empty((2, len(features), nodes * width))
-        for j, f in enumerate(features):
-            cell = first + bins[f, taken]
+        p, y, bins = _progress(block, fit, done, trees, tree, level)
+        if p.sample is None:
+            taken = np.flatnonzero(np.random.default_rng((*seed, block[0], block[1])).random(len(y)) < share)
+            p.sample = taken, np.ascontiguousarray(bins[features][:, taken]), (p.margin - y)[taken]
+        taken, x, slope = p.sample
+        node = p.node[taken] - (nodes - 1)
+        if node.min(initial=0) < 0:  # rows of leaves further up
+            left = np.flatnonzero(node >= 0)
+            node, x, slope = node[left], x[:, left], slope[left]
+        first, part = node * width, np.empty((2, len(features), nodes * width))
+        for j in range(len(features)):
+            cell = first + x[j]
             part[0, j] = np.bincount(cell, slope, nodes * width)
             part[1, j] = np.bincount(cell, minlength=nodes * width)
         total = part if total is None else total + part
@@ -198,7 +266,7 @@ def fit_trees(train: DataFrame, s: BoostSettings) -> tuple[float, list[Tree]]:
         return path, spark.read.schema(BLOCK).parquet(path).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
     path, blocks = written(binned(train, edges, float(base)))
-    trees, recent = [], []
+    trees, recent, fit = [], [], uuid.uuid4().hex
     try:
         for turn in range(s.rounds):
             if len(recent) == REFRESH:
@@ -212,7 +280,7 @@ def fit_trees(train: DataFrame, s: BoostSettings) -> tuple[float, list[Tree]]:
             chosen = np.random.default_rng((s.seed, turn)).permutation(size)[: max(1, int(s.features * size))]
             features, tree = sorted(chosen.tolist()), Tree.empty(s.depth)
             for level in range(s.depth):
-                task = (list(recent), tree, level, features, width, s.rows, (s.seed, turn))
+                task = (fit, turn - len(recent), list(recent), tree, level, features, width, s.rows, (s.seed, turn))
                 sums = blocks.mapPartitions(lambda b, task=task: _level_sums(b, *task))
                 if blocks.getNumPartitions() > 1:
                     sums = sums.partitionBy(min(len(features), math.ceil(blocks.getNumPartitions() ** 0.5)), int)

@@ -122,3 +122,42 @@ def test_cuts_of_all_features_are_those_of_the_whole_search(spark):
 def test_one_constant_column_has_no_cut(spark):
     base, (tree,) = fit_trees(table(spark, np.ones((9, 1)), np.arange(9.0)), WHOLE)
     assert base == 4 and (tree.feature == -1).all() and tree.value[0] == 0
+
+
+def test_a_worker_takes_one_step_a_level_and_a_new_one_gets_the_same(monkeypatch):
+    """Of a block seen before, a level is one step and a tree is added once; what a worker forgot is worked out again."""
+    x, y = data(50)
+    bins = np.ascontiguousarray(x.T.astype(np.uint8))
+    trees = []
+    for j in range(3):
+        tree = boosting.Tree.empty(2)
+        tree.feature[:3], tree.cut[:3], tree.value[:] = [j, 2, 3], [4, 3, 5], np.arange(7) + j
+        trees.append(tree)
+    block, steps, below = (0, 0, y.tobytes(), np.full(50, 1.5).tobytes(), bins.tobytes()), [], boosting.Tree.below
+    monkeypatch.setattr(boosting, "_SEEN", {})
+    monkeypatch.setattr(boosting.Tree, "below", lambda *a: steps.append(1) or below(*a))
+    for turn, tree in enumerate(trees):
+        for level in (0, 1, 1):  # the last one again
+            del steps[:]
+            p, labels, _ = boosting._progress(block, "a", 0, trees[:turn], tree, level)
+            assert len(steps) <= 1  # to the leaves of the last tree, or one level down this one
+            assert p.margin == pytest.approx(1.5 + sum(t.scores(bins) for t in trees[:turn])) and (labels == y).all()
+            assert (p.node == tree.places(bins, level)).all()
+            fresh, _, _ = boosting._progress((0, 1, *block[2:]), "a", 0, trees[:turn], tree, level)
+            boosting._SEEN.pop(("a", 0, 1))
+            assert (fresh.margin == p.margin).all() and (fresh.node == p.node).all()
+    for number in range(boosting.KEPT + 5):
+        boosting._progress((0, number, *block[2:]), "b", 0, [], trees[0], 0)
+    assert len(boosting._SEEN) == boosting.KEPT and all(k[0] == "b" for k in boosting._SEEN)
+
+
+def test_batches_of_a_partition_are_one_block(spark):
+    x, y = data(90)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        blocks = boosting.binned(table(spark, x, y, 1), [np.arange(9.0)] * 4, 0.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (block,) = blocks
+    assert sorted(np.frombuffer(block.y)) == sorted(y)
+    assert (np.frombuffer(block.bins, np.uint8).reshape(4, 90).sum(axis=1) == x.sum(axis=0)).all()
