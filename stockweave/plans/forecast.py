@@ -41,7 +41,8 @@ def pipelines(
             *inputs, scaler, LinearRegression(featuresCol="scaled", labelCol=target, regParam=0.0)]),
         "Random Forest": Pipeline(stages=[*inputs, RandomForestRegressor(
             labelCol=target, numTrees=p.forest_trees, maxDepth=p.forest_depth,
-            minInstancesPerNode=p.forest_min_leaf, featureSubsetStrategy="sqrt", seed=p.seed, maxBins=max_bins)]),
+            minInstancesPerNode=p.forest_min_leaf, featureSubsetStrategy="sqrt", seed=p.seed, maxBins=max_bins,
+            cacheNodeIds=True)]),
         "Boosting": Pipeline(stages=[*inputs, boosting(target, p, p.boost_min_leaf)]),
     }
 
@@ -75,7 +76,7 @@ def _bins(rows: DataFrame, categories: list[str]) -> int:
 #: Training rows of a partition. Boosting runs thousands of short jobs one after another, so small tables are few tasks.
 TRAIN_ROWS = 200_000
 #: A forest runs a dozen long jobs: so many rows a task, until there are ``FOREST_TASKS``.
-FOREST_ROWS, FOREST_TASKS = 8_000, 24
+FOREST_ROWS, FOREST_TASKS = 8_000, 12
 
 
 def _tasks(n: int, forest: bool) -> int:
