@@ -36,6 +36,8 @@ from ..session import discard, new_path
 BINS = 256
 #: Rows of a block at most, a partition's last batches aside.
 BLOCK_ROWS = 100_000
+#: Rows that one generator draws from; a block is ten of its stretches.
+DRAW_ROWS = 10_000
 #: Blocks whose progress a Python worker keeps.
 KEPT = 24
 #: Rounds between two writes of the predictions so far.
@@ -172,13 +174,20 @@ def _progress(block, fit, done, trees, tree, level) -> tuple[Progress, np.ndarra
     return p, y, bins
 
 
+def _draws(seed: tuple, number: int, rows: int) -> np.ndarray:
+    """A number from 0 to 1 for each row of a block, the same for any length of the blocks."""
+    first = number * (BLOCK_ROWS // DRAW_ROWS)
+    return np.concatenate([np.random.default_rng((*seed, first + k)).random(min(DRAW_ROWS, rows - k * DRAW_ROWS))
+                           for k in range(-(-rows // DRAW_ROWS))] or [np.empty(0)])
+
+
 def _level_sums(blocks, fit, done, trees, tree, level, features, width, share, seed):
     """Of one task, for each feature's place among ``features``: the task, and gradients and rows by node of the level and bin."""
     nodes, total = 2**level, None
     for block in blocks:
         p, y, bins = _progress(block, fit, done, trees, tree, level)
         if p.sample is None:
-            taken = np.flatnonzero(np.random.default_rng((*seed, block[0], block[1])).random(len(y)) < share)
+            taken = np.flatnonzero(_draws((*seed, block[0]), block[1], len(y)) < share)
             p.sample = taken, np.ascontiguousarray(bins[features][:, taken]), (p.margin - y)[taken]
         taken, x, slope = p.sample
         node = p.node[taken] - (nodes - 1)

@@ -161,3 +161,9 @@ def test_batches_of_a_partition_are_one_block(spark):
     (block,) = blocks
     assert sorted(np.frombuffer(block.y)) == sorted(y)
     assert (np.frombuffer(block.bins, np.uint8).reshape(4, 90).sum(axis=1) == x.sum(axis=0)).all()
+
+
+def test_rows_are_drawn_by_stretches_of_ten_thousand():
+    draws = boosting._draws((42, 0, 3), 1, 25_000)
+    want = [np.random.default_rng((42, 0, 3, 10 + k)).random(n) for k, n in enumerate((10_000, 10_000, 5_000))]
+    assert (draws == np.concatenate(want)).all() and boosting._draws((42, 0, 3), 0, 0).size == 0
