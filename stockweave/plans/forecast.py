@@ -75,14 +75,14 @@ def _bins(rows: DataFrame, categories: list[str]) -> int:
 
 #: Training rows of a partition. Boosting runs thousands of short jobs one after another, so small tables are few tasks.
 TRAIN_ROWS = 200_000
-#: A forest runs a dozen long jobs: so many rows a task, until there are ``FOREST_TASKS``.
-FOREST_ROWS, FOREST_TASKS = 8_000, 12
+#: A forest runs a dozen long jobs: more than ``FOREST_ROWS`` rows are ``FOREST_TASKS`` at least.
+FOREST_ROWS, FOREST_TASKS = 50_000, 12
 
 
 def _tasks(n: int, forest: bool) -> int:
     """Partitions of ``n`` training rows. The sums of a forest's level are as large in a small task as in a large one."""
     few = max(1, -(-n // TRAIN_ROWS))
-    return max(few, min(FOREST_TASKS, -(-n // FOREST_ROWS))) if forest else few
+    return max(few, FOREST_TASKS) if forest and n > FOREST_ROWS else few
 
 
 def _train_side(rows: DataFrame, forest: bool = False) -> DataFrame:

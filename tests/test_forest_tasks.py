@@ -6,7 +6,7 @@ from stockweave.schemas import ForecastParams
 
 
 def test_tasks_follow_the_rows():
-    assert [fc._tasks(n, True) for n in (0, 8_000, 104_750, 6_300_000)] == [1, 1, 12, 32]
+    assert [fc._tasks(n, True) for n in (0, 50_000, 104_750, 6_300_000)] == [1, 1, 12, 32]
     assert [fc._tasks(n, False) for n in (0, 8_000, 104_750, 6_300_000)] == [1, 1, 1, 32]
 
 
