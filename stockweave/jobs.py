@@ -62,8 +62,7 @@ def kpis(spark: SparkSession, fact_folder: str, out: str, notebook: bool = False
     fact = sources.load_fact(spark, fact_folder)
     s = prepared_sales(fact).persist(StorageLevel.MEMORY_AND_DISK)
     iv = prepared_stock(fact).persist(StorageLevel.MEMORY_AND_DISK)
-    tables = report.kpi_tables(s, iv, notebook)
-    summaries = report.global_tables(tables, s, iv)
+    tables, summaries = report.stored_tables(s, iv, notebook)
     sinks.write_tables(tables, f"{out}/paises", by_country=True)
     sinks.write_tables(summaries, f"{out}/global")
     sinks.write_report(report.report_sheets(tables, summaries), f"{out}/reporte_kpis")

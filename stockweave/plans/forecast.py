@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
 from ..schemas import ForecastParams
+from ..session import stored
 from . import features as ft
 from .boosting import BoostedTrees, BoostSettings
 
@@ -206,6 +207,8 @@ def sku_event_catalogue(sales: DataFrame) -> DataFrame:
     from ..operators.quantiles import exact_quantiles
 
     keys = ["CODIGO_SKU", "PAIS"]
+    used = (*keys, "FECHA", "FAMILIA", "MODELO", "MARCA", "TIER", "ESTADO", "PRECIO_UNITARIO", "VALUE")
+    sales = stored(sales.select(*[c for c in used if c in sales.columns]), "sales")  # read several times
 
     def earliest(c: str) -> Column:
         return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("FECHA", c))).alias(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..session import stored
 from . import inventory, product, sales
 
 
@@ -45,6 +46,12 @@ def global_tables(tables: dict[str, DataFrame], s: DataFrame, iv: DataFrame) ->
     }
 
 
+def stored_tables(s: DataFrame, iv: DataFrame, notebook: bool = False) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The tables and summaries, each worked out once: written, summed up and shown in a sheet, they are read back."""
+    tables = {name: stored(df, name) for name, df in kpi_tables(s, iv, notebook).items()}
+    return tables, {name: stored(df, name) for name, df in global_tables(tables, s, iv).items()}
+
+
 def report_sheets(tables: dict[str, DataFrame], summaries: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The sheets of the KPI report."""
     return {

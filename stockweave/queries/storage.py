@@ -12,7 +12,7 @@ from ..operators import cleaning
 from ..plans import forecast as fc
 from ..plans import report
 from ..plans.clean_fact import cleaned
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from .base import PARAMS, query
 
 
@@ -62,7 +62,7 @@ def _(t):
     folder = _dir(t, "raw")
     cols = ["PAIS", "FECHA_VENTA_INVENTARIO", "TIPO_TRANSACCION", "CODIGO_SKU", "CODIGO_BODEGA", "VALUE", "COSTO"]
     # The country comes from the data here, so that only ORIGEN depends on the file name.
-    named = t.raw.withColumn("PAIS", F.coalesce(clean_text(F.col("PAIS")), F.col("SOURCE_COUNTRY"))).select(*cols)
+    named = stored(t.raw.withColumn("PAIS", F.coalesce(clean_text(F.col("PAIS")), F.col("SOURCE_COUNTRY"))).select(*cols), "named")
     headers = {
         "Sales": ("py", ";", ["Country", "FECHA", "Tipo de Transaccion", "SKU", "Bodega", "Unidades", "Cost"]),
         " inventory ": ("NI", "|", ["PAIS", "Date", "TRANSACCION", "cod sku", "Warehouse", "UNITS", "COSTO"]),
@@ -112,8 +112,7 @@ def _(t):
 def _(t):
     folder = _dir(t, "kpis")
     s, iv = t.sales.cache(), t.stock.cache()
-    tables = report.kpi_tables(s, iv)
-    summaries = report.global_tables(tables, s, iv)
+    tables, summaries = report.stored_tables(s, iv)
     sinks.write_tables(tables, f"{folder}/paises", by_country=True)
     sinks.write_tables(summaries, f"{folder}/global")
     sinks.write_report(report.report_sheets(tables, summaries), f"{folder}/reporte")
