@@ -10,6 +10,6 @@ def test_tasks_follow_the_rows():
     assert [fc._tasks(n, False) for n in (0, 8_000, 104_750, 6_300_000)] == [1, 1, 1, 32]
 
 
-def test_forest_rows_remember_their_nodes():
+def test_forest_rows_remember_their_nodes(spark):
     forest = fc.pipelines(ft.SKU_FEATURES, ft.SKU_TARGET, ft.SKU_CATEGORIES, ForecastParams())["Random Forest"].getStages()[-1]
     assert forest.getCacheNodeIds()
