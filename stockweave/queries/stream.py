@@ -116,19 +116,19 @@ def _run_dir(t, name):
     return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _event_stream(t, files=4):
-    """The events as JSON lines in event order, one file per micro-batch, read as a stream."""
+def _event_stream(t, batches=4):
+    """The events as JSON lines in event order, read as a stream of so many micro-batches."""
     folder = _run_dir(t, "topic")
-    ev.export_lines(t.events, folder, files)
-    return ev.once(ev.valid_events(ev.line_stream(t.spark, folder)), "60 days")
+    files = ev.export_lines(t.events, folder, batches)
+    return ev.once(ev.valid_events(ev.line_stream(t.spark, folder, files)), "60 days")
 
 
 @query("str_03b_ventana_5_minutos_stream", "inicio s, pais s, eventos l, unidades l, ingreso d2", FIVE.format(
     "WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE"))
 def _(t):
     topic, out, state = _run_dir(t, "topic"), _run_dir(t, "five"), _run_dir(t, "five-state")
-    ev.export_lines(t.events, topic, 4)
-    stream = ev.per_five_minutes(ev.valid_events(ev.line_stream(t.spark, topic)))
+    files = ev.export_lines(t.events, topic, 4)
+    stream = ev.per_five_minutes(ev.valid_events(ev.line_stream(t.spark, topic, files)))
     job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
     job.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return _shown(t.spark.read.parquet(out))
@@ -389,10 +389,11 @@ FROM sim s JOIN dem d ON d.pais = s.pais AND d.codigo_sku = s.codigo_sku AND d.v
 def _(t):
     topic = _run_dir(t, "topic")
     size = -(-t.events.count() // JOB_WINDOWS)
-    ev.export_batches(ev.with_count_window(t.events, size, "lote"), topic, "lote", range(1, JOB_WINDOWS + 1))
+    files = ev.export_batches(ev.with_count_window(t.events, size, "lote"), topic, "lote", range(1, JOB_WINDOWS + 1))
     job = StreamJob(t.spark, _run_dir(t, "job"), rules.StreamParams(lead_windows=JOB_LEAD))
     # Without a delay there is no watermark, whose advance would run a window without events.
-    job.start(ev.once(ev.valid_events(ev.line_stream(t.spark, topic))), _run_dir(t, "job-state")).awaitTermination()
+    lines = ev.line_stream(t.spark, topic, files)
+    job.start(ev.once(ev.valid_events(lines)), _run_dir(t, "job-state")).awaitTermination()
     coming = F.get("en_camino", F.lit(0))  # a key has one open transit at most
     return _with_hist(job.table("estado")).withColumns({"llegada": coming["llegada"], "cantidad": coming["cantidad"]})
 

@@ -110,27 +110,40 @@ def as_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*[f.name for f in EVENT_SCHEMA if f.name in events.columns])).alias("value"))
 
 
-def export_lines(events: DataFrame, folder: str, files: int | None = None) -> None:
-    """Write events as JSON lines for replay, each file the next range of the event order.
+def export_lines(events: DataFrame, folder: str, batches: int | None = None) -> int | None:
+    """Write events as JSON lines for replay.
 
-    ``files`` for a stream: so many, one per micro-batch and task. Without it the ranges are those of a
-    shuffle and all written at once, for a batch that doesn't ask for the files' age.
+    ``batches`` for a stream: so many ranges of the event order, one per micro-batch; returns the files of
+    each. Without it the ranges are those of a shuffle and all written at once, for a batch that doesn't ask
+    for the files' age.
     """
-    if files is None:
+    if batches is None:
         n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         as_lines(events.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)).write.mode("append").text(folder)
-        return
-    export_batches(sliced(events, [], ORDER, files), folder, "_slice", range(files))
+        return None
+    return export_batches(sliced(events, [], ORDER, batches), folder, "_slice", range(batches))
 
 
-def export_batches(events: DataFrame, folder: str, batch: str, numbers: Iterable[int]) -> None:
-    """Write a file of JSON lines for each number of the column ``batch``, which is left out.
+def export_batches(
+    events: DataFrame, folder: str, batch: str, numbers: Iterable[int], rows_per_file: int = 50_000
+) -> int:
+    """Write JSON lines for each number of the column ``batch``, which is left out; returns the files of each.
 
-    The files are written one after the other because a stream takes files by age.
+    The numbers are written one after the other because a stream takes files by age. A long one is dealt
+    over several files, the same count for each number and none empty, so that a stream of so many files
+    per micro-batch takes one number at a time.
     """
+    numbers = list(numbers)
+    sizes = dict(events.filter(F.col(batch).isin(numbers)).groupBy(batch).count().collect())
+    rows = [sizes.get(i, 0) for i in numbers]
+    files = max(1, min(-(-max(rows) // rows_per_file), min(rows)))
     for i in numbers:
-        part = events.filter(F.col(batch) == i).drop(batch).coalesce(1).sortWithinPartitions(*ORDER)
-        as_lines(part).write.mode("append").text(folder)
+        part = events.filter(F.col(batch) == i).drop(batch).coalesce(1)
+        if files > 1:
+            turn = part.withColumn("_file", (F.monotonically_increasing_id() % files).cast("int"))
+            part = turn.repartitionById(files, "_file").drop("_file")
+        as_lines(part.sortWithinPartitions(*ORDER)).write.mode("append").text(folder)
+    return files
 
 
 def event_sample(sales: DataFrame, stock: DataFrame, total: int, seed: int = 42) -> DataFrame:

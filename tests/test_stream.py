@@ -2,14 +2,16 @@ import json
 import os
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stockweave.plans import dashboard
 from stockweave.schemas import EVENT_SCHEMA, StreamParams
 from stockweave.streaming import events as ev
-from stockweave.streaming import fold, replay, rules
+from stockweave.streaming import fold, replay, rules, state
 from stockweave.streaming.run import StreamJob
 from stockweave.streaming.state import stock_accounts
 
@@ -348,3 +350,42 @@ def test_windows_of_one_long_state_are_made_by_several_tasks(spark, monkeypatch)
     got = sorted((r.codigo_sku, r.ventana) for r in out.collect())
     assert got == sorted([("1", w) for w in range(3, 101)] + [("2", w) for w in range(1, 96)])
     assert out.filter("codigo_sku = '1'").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_keys_of_a_bucket_share_one_state_value():
+    calls, kept = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, value):
+            calls.append("update")
+            kept["v"] = value
+
+    processor = state.StockProcessor(2)
+    processor.init(SimpleNamespace(getValueState=lambda *_: Value()))
+    row = Row(*state.FIELDS)
+
+    def rows(*events):
+        return iter([row("PY", sku, at, f"e{at}", kind, units, 1.5, "", "M", "A", "LOW", None) for sku, at, kind, units in events])
+
+    first = list(processor.handleInputRows((0,), rows(("1", 2, "SALES", 3), ("2", 1, "INVENTORY", 9), ("1", 1, "INVENTORY", 5)), None))
+    assert [(r.codigo_sku, r.stock, r.ventas, r.historial, r.eventos, r.ultimo) for r in first] == [
+        ("1", 2, 3, [3], 2, 2), ("2", 9, 0, [], 1, 1)]
+    second = list(processor.handleInputRows((0,), rows(*[("2", at, "SALES", at) for at in (4, 3, 5)]), None))
+    assert [(r.codigo_sku, r.stock, r.ventas, r.historial) for r in second] == [("2", 0, 12, [4, 5])]
+    assert calls == ["get", "update"] * 2 and kept["v"][1] == ["1", "2"]
+
+
+def test_a_long_batch_of_a_stream_is_several_files(spark, tmp_path):
+    events = ev.with_count_window(frame(spark, [event(i) for i in range(90)]), 30, "lote")
+    files = ev.export_batches(events, str(tmp_path / "t"), "lote", [1, 2, 3], rows_per_file=8)
+    seen = []
+    stream = ev.valid_events(ev.line_stream(spark, str(tmp_path / "t"), files))
+    stream.writeStream.foreachBatch(lambda df, i: seen.append(df.agg(F.count("*"), F.min("evento_id")).first())).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(list((tmp_path / "t").glob("part-*.txt"))) == 3 * files == 12
+    assert [tuple(r) for r in seen] == [(30, "e000000"), (30, "e000030"), (30, "e000060")]
+    assert ev.export_batches(events, str(tmp_path / "short"), "lote", [3, 4], rows_per_file=8) == 1  # number 4 has no rows
