@@ -9,8 +9,10 @@ from ..schemas import FILE_COUNTRIES, NULL_SPELLINGS, TIER_ORDER, TYPE_LABELS
 
 
 def normal_text(c: Column) -> Column:
-    """Collapse whitespace, strip and upper-case."""
-    return F.upper(F.trim(F.regexp_replace(c.cast("string"), r"[\s\p{Z}]+", " ")))
+    """Collapse whitespace, strip and upper-case. Printable ASCII without blanks has nothing to replace."""
+    text = c.cast("string")
+    collapsed = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
+    return F.upper(F.when(text.rlike(r"\A[!-~]*+\z"), text).otherwise(collapsed))
 
 
 def present(c: Column) -> Column:

@@ -13,11 +13,14 @@ from ..functions.dates import date_key
 from ..functions.text import normal_text, present
 from ..schemas import NUMBER_COLUMNS, TEXT_COLUMNS, CleaningParams
 
+# Sorted in this order: amounts settle most comparisons, countries and types few.
 COPY_KEYS = [
-    "PAIS", "FECHA_VENTA_INVENTARIO", "TIPO_TRANSACCION", "CODIGO_SKU",
-    "CODIGO_BODEGA", "VALUE", "COSTO",
+    "COSTO", "CODIGO_SKU", "FECHA_VENTA_INVENTARIO", "CODIGO_BODEGA", "VALUE",
+    "PAIS", "TIPO_TRANSACCION",
 ]
-REQUIRED = ["PAIS", "CODIGO_SKU", "CODIGO_BODEGA", "VALUE", "COSTO", "FECHA_VENTA_INVENTARIO"]
+REQUIRED_TEXTS = ["PAIS", "CODIGO_SKU", "CODIGO_BODEGA"]
+REQUIRED_NUMBERS = ["VALUE", "COSTO", "FECHA_VENTA_INVENTARIO"]
+REQUIRED = REQUIRED_TEXTS + REQUIRED_NUMBERS
 
 
 def computed_once(df: DataFrame, changes: Mapping[str, Column]) -> DataFrame:
@@ -31,17 +34,21 @@ def computed_once(df: DataFrame, changes: Mapping[str, Column]) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*fields, *new))))
 
 
-def typed(df: DataFrame, country_names: Mapping[str, str] | None = None) -> DataFrame:
+def typed(
+    df: DataFrame, country_names: Mapping[str, str] | None = None, columns: Iterable[str] | None = None
+) -> DataFrame:
     """Normalise text, coerce numbers, fill the country from the source file.
 
     ``country_names`` maps spellings of a country to one form (``{"PY": "PARAGUAY"}``), so
-    that codes in the data and names taken from file names meet in joins.
+    that codes in the data and names taken from file names meet in joins. ``columns`` leaves all
+    others as they are, for a later call: ``PAIS`` goes with ``SOURCE_COUNTRY``.
     """
-    texts = [c for c in TEXT_COLUMNS if c in df.columns]
+    chosen = [c for c in (df.columns if columns is None else columns) if c in df.columns]
+    texts = [c for c in TEXT_COLUMNS if c in chosen]
     changes = {c: normal_text(F.col(c)) for c in texts}
-    changes |= {c: to_number(F.col(c)) for c in NUMBER_COLUMNS if c in df.columns}
+    changes |= {c: to_number(F.col(c)) for c in NUMBER_COLUMNS if c in chosen}
     out = computed_once(df, changes).withColumns({c: present(F.col(c)) for c in texts})
-    if "PAIS" in out.columns:
+    if "PAIS" in chosen:
         country = F.col("PAIS")
         if "SOURCE_COUNTRY" in out.columns:
             country = F.coalesce(country, F.col("SOURCE_COUNTRY"))
@@ -56,7 +63,9 @@ def of_types(df: DataFrame, types: Iterable[str] = CleaningParams.types) -> Data
     return df.filter(F.col("TIPO_TRANSACCION").isin(list(types)))
 
 
-def with_required(df: DataFrame, keep_zero_inventory: bool = False) -> DataFrame:
+def with_required(
+    df: DataFrame, keep_zero_inventory: bool = False, required: Iterable[str] = REQUIRED
+) -> DataFrame:
     """Drop rows lacking a required value or with a non-positive amount.
 
     ``keep_zero_inventory`` keeps stock snapshots of zero units.
@@ -65,7 +74,7 @@ def with_required(df: DataFrame, keep_zero_inventory: bool = False) -> DataFrame
     if keep_zero_inventory:
         empty_stock = (F.col("TIPO_TRANSACCION") == "INVENTORY") & (F.col("VALUE") == 0)
         positive = positive | empty_stock
-    return df.dropna(subset=REQUIRED).filter(positive)
+    return df.dropna(subset=list(required)).filter(positive)
 
 
 def with_unit_price(df: DataFrame, min_price: float = 1.0, keep_zero_inventory: bool = False) -> DataFrame:
@@ -102,6 +111,7 @@ def first_of_copies(df: DataFrame, keys: list[str], order: list[str] | None = No
 
     A minimum over a struct combines on the map side, so a key copied in a third of all
     rows shuffles one row per task, where a ranking window would sort them in one task.
+    Such a minimum sorts rows by the keys in their order, so a key of many values goes first.
     """
     lead = [c for c in (order or []) if c not in keys]
     rest = [c for c in df.columns if c not in keys and c not in lead]

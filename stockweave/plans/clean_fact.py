@@ -12,18 +12,26 @@ from ..operators.columns import canonical_columns, preferred_order, with_missing
 from ..operators.enrich import device_catalogue, enriched, warehouse_catalogue
 from ..operators.gapfill import filled_prices, with_filled_inventory
 from ..operators.outliers import capped_prices, price_bounds
-from ..schemas import CLEAN_FACT_ORDER, MOVEMENT_COLUMNS, CleaningParams
+from ..schemas import CLEAN_FACT_ORDER, MOVEMENT_COLUMNS, NUMBER_COLUMNS, CleaningParams
 from ..session import stored
 
 
 def cleaned(
     raw: DataFrame, params: CleaningParams = CleaningParams(), country_names: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Typed, filtered, priced, dated movements without copies."""
-    df = cleaning.typed(with_missing(canonical_columns(raw), MOVEMENT_COLUMNS), country_names)
-    df = cleaning.with_required(cleaning.of_types(df, params.types), params.keep_zero_inventory)
+    """Typed, filtered, priced, dated movements without copies.
+
+    Type and numbers come first and drop rows before the other texts are cleaned. All at once was
+    more code than the JVM compiles for one method of a task: over Parquet files it ran uncompiled.
+    """
+    df = with_missing(canonical_columns(raw), MOVEMENT_COLUMNS)
+    first = ["TIPO_TRANSACCION", *NUMBER_COLUMNS]
+    others = [c for c in df.columns if c not in first]
+    df = cleaning.of_types(cleaning.typed(df, columns=first), params.types)
+    df = cleaning.with_required(df, params.keep_zero_inventory, cleaning.REQUIRED_NUMBERS)
     df = cleaning.with_unit_price(df, params.min_price, params.keep_zero_inventory)
-    return calendar_columns(cleaning.without_copies(cleaning.with_day(df, params)))
+    df = cleaning.typed(cleaning.with_day(df, params), country_names, others)
+    return calendar_columns(cleaning.without_copies(df.dropna(subset=cleaning.REQUIRED_TEXTS)))
 
 
 def clean_fact(
