@@ -8,7 +8,8 @@ predictions so far are written with the blocks, so neither lineage nor a task's
 rounds, and a lost executor costs the tasks it had. A Python worker keeps predictions and places of the
 blocks it saw last, so that a level costs a step and not the trees since the last write; another
 worker works them out from the block. The blocks are RDD rows because the sums are arrays that no
-aggregate function merges.
+aggregate function merges. Blocks that are all in one task need no job for a level: a job is then the rounds
+between two writes.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BINS = 256
 BLOCK_ROWS = 100_000
 #: Rows that one generator draws from; a block is ten of its stretches.
 DRAW_ROWS = 10_000
+#: Rows up to which one task holds all blocks. A job costs a tenth of a second and more, and a level of so many rows no longer.
+ALONE_ROWS = 500_000
 #: Blocks whose progress a Python worker keeps.
 KEPT = 24
 #: Rounds between two writes of the predictions so far.
@@ -259,25 +262,46 @@ def grow(tree: Tree, level: int, cuts: list[np.ndarray], features: list[int], s:
     return found
 
 
+def _chosen(turn: int, size: int, s: BoostSettings) -> list[int]:
+    """The features of a round."""
+    some = np.random.default_rng((s.seed, turn)).permutation(size)[: max(1, int(s.features * size))]
+    return sorted(some.tolist())
+
+
+def _rounds(blocks, fit, turns, size, width, s: BoostSettings):
+    """The trees of the rounds ``turns``, of blocks that were written before them and are all there are."""
+    blocks, trees = sorted(blocks, key=lambda b: b[:2]), []
+    for turn in turns:
+        features, tree = _chosen(turn, size, s), Tree.empty(s.depth)
+        for level in range(s.depth):
+            cuts = dict(_merged(_level_sums(blocks, fit, turns[0], trees, tree, level, features, width, s.rows, (s.seed, turn)), s))
+            if not grow(tree, level, [cuts[j] for j in range(len(features))], features, s):
+                break
+        trees.append(tree)
+    return trees
+
+
 def fit_trees(train: DataFrame, s: BoostSettings) -> tuple[float, list[Tree]]:
     """The mean label and the trees, cuts as values, of ``train`` (array x, double y)."""
     spark = train.sparkSession
-    base, size = train.agg(F.avg("y"), F.max(F.size("x"))).first()
+    base, size, rows = train.agg(F.avg("y"), F.max(F.size("x")), F.count("y")).first()
     if base is None:
         raise ValueError("no training rows")
     columns = [f"x{j}" for j in range(size)]
     edges = bin_edges(train.select(*[F.col("x")[j].alias(c) for j, c in enumerate(columns)]), columns)
-    width = 1 + max(len(e) for e in edges)
+    width, alone = 1 + max(len(e) for e in edges), rows <= ALONE_ROWS
 
     def written(df: DataFrame):
         path = new_path(spark, "boosting")
         df.write.parquet(path)
-        return path, spark.read.schema(BLOCK).parquet(path).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = spark.read.schema(BLOCK).parquet(path)
+        return path, (blocks.coalesce(1) if alone else blocks).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
     path, blocks = written(binned(train, edges, float(base)))
     trees, recent, fit = [], [], uuid.uuid4().hex
     try:
-        for turn in range(s.rounds):
+        while len(trees) < s.rounds:
+            turn = len(trees)
             if len(recent) == REFRESH:
                 done = list(recent)
                 moved = blocks.map(lambda b, done=done: (b[0], b[1], b[2], _opened(b, done)[1].tobytes(), b[4]))
@@ -286,8 +310,12 @@ def fit_trees(train: DataFrame, s: BoostSettings) -> tuple[float, list[Tree]]:
                 old.unpersist()
                 discard(spark, old_path)
                 recent = []
-            chosen = np.random.default_rng((s.seed, turn)).permutation(size)[: max(1, int(s.features * size))]
-            features, tree = sorted(chosen.tolist()), Tree.empty(s.depth)
+            if alone:
+                turns = range(turn, min(turn + REFRESH, s.rounds))
+                recent = blocks.mapPartitions(lambda b, turns=turns: _rounds(b, fit, turns, size, width, s)).collect()
+                trees += recent
+                continue
+            features, tree = _chosen(turn, size, s), Tree.empty(s.depth)
             for level in range(s.depth):
                 task = (fit, turn - len(recent), list(recent), tree, level, features, width, s.rows, (s.seed, turn))
                 sums = blocks.mapPartitions(lambda b, task=task: _level_sums(b, *task))

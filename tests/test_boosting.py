@@ -167,3 +167,21 @@ def test_rows_are_drawn_by_stretches_of_ten_thousand():
     draws = boosting._draws((42, 0, 3), 1, 25_000)
     want = [np.random.default_rng((42, 0, 3, 10 + k)).random(n) for k, n in enumerate((10_000, 10_000, 5_000))]
     assert (draws == np.concatenate(want)).all() and boosting._draws((42, 0, 3), 0, 0).size == 0
+
+
+def test_rounds_of_a_small_table_are_one_job_and_give_the_trees_of_the_level_jobs(spark, monkeypatch):
+    x, y = data(300)
+    s = BoostSettings(rounds=7, step=0.5, depth=4, rows=0.8, features=0.5, min_rows=2)
+    monkeypatch.setattr(boosting, "REFRESH", 3)
+    fits, jobs = [], []
+    for alone in (boosting.ALONE_ROWS, 0):
+        monkeypatch.setattr(boosting, "ALONE_ROWS", alone)
+        spark.sparkContext.setJobGroup(f"alone-{alone}", "")
+        fits.append(fit_trees(table(spark, x, y, 5), s))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"alone-{alone}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    (base, trees), (other, others) = fits
+    assert base == other and len(trees) == len(others) == 7
+    for a, b in zip(trees, others, strict=True):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value)
+    assert jobs[0] + 7 * 3 <= jobs[1]  # three jobs of rounds for seven times four of levels, or a few less where nothing gains
