@@ -1,11 +1,11 @@
-"""Demand models on MLlib and ``boosting``: training, metrics, persistence and scoring."""
+"""Demand models on MLlib, ``boosting`` and ``forest``: training, metrics, persistence and scoring."""
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from ..schemas import ForecastParams
 from ..session import stored
 from . import features as ft
 from .boosting import BoostedTrees, BoostSettings
+from .forest import Forest
 
 MODEL_NAMES = ("Regresion Lineal", "Random Forest", "Boosting")
 
@@ -40,7 +41,7 @@ def pipelines(
     return {
         "Regresion Lineal": Pipeline(stages=[
             *inputs, scaler, LinearRegression(featuresCol="scaled", labelCol=target, regParam=0.0)]),
-        "Random Forest": Pipeline(stages=[*inputs, RandomForestRegressor(
+        "Random Forest": Pipeline(stages=[*inputs, Forest(
             labelCol=target, numTrees=p.forest_trees, maxDepth=p.forest_depth,
             minInstancesPerNode=p.forest_min_leaf, featureSubsetStrategy="sqrt", seed=p.seed, maxBins=max_bins,
             cacheNodeIds=True)]),
