@@ -459,7 +459,7 @@ FROM mv WHERE TIPO_TRANSACCION = 'INVENTORY' OR (TIPO_TRANSACCION = 'SALES' AND
 def _(t):
     folder = _run_dir(t, "replay")
     events = ev.table_events(t.movements, "SALES").unionByName(ev.table_events(t.movements, "INVENTORY"))
-    ev.export_lines(events, folder)
+    ev.export_lines(events, folder, compression="gzip")
     back = ev.valid_events(t.spark.read.text(folder))
     return back.groupBy("tipo_evento", "pais").agg(
         F.count("*").alias("n"), F.sum("value").alias("unidades"),

@@ -110,16 +110,17 @@ def as_lines(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*[f.name for f in EVENT_SCHEMA if f.name in events.columns])).alias("value"))
 
 
-def export_lines(events: DataFrame, folder: str, batches: int | None = None) -> int | None:
+def export_lines(events: DataFrame, folder: str, batches: int | None = None, compression: str = "none") -> int | None:
     """Write events as JSON lines for replay.
 
     ``batches`` for a stream: so many ranges of the event order, one per micro-batch; returns the files of
     each. Without it the ranges are those of a shuffle and all written at once, for a batch that doesn't ask
-    for the files' age.
+    for the files' age; a table is several times its size as lines, so these files can be compressed.
     """
     if batches is None:
         n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        as_lines(events.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)).write.mode("append").text(folder)
+        lines = as_lines(events.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER))
+        lines.write.mode("append").text(folder, compression=compression)
         return None
     return export_batches(sliced(events, [], ORDER, batches), folder, "_slice", range(batches))
 

@@ -342,6 +342,20 @@ def test_a_batch_export_is_many_files_of_the_whole_order(spark, tmp_path):
     assert sorted(r.evento_id for r in back.collect()) == [f"e{i:06d}" for i in range(200)]
 
 
+def test_a_compressed_export_has_the_same_lines_in_the_same_order(spark, tmp_path):
+    events = frame(spark, [event(i) for i in range(200)])
+    ev.export_lines(events, str(tmp_path / "plain"))
+    ev.export_lines(events, str(tmp_path / "small"), compression="gzip")
+
+    def lines(name):
+        files = sorted((tmp_path / name).glob("part-*"), key=lambda f: f.name[:10])
+        return [[r.value for r in spark.read.text(str(f)).collect()] for f in files]
+
+    assert lines("small") == lines("plain") and len(list((tmp_path / "small").glob("part-*.txt.gz"))) > 1
+    sizes = [sum(f.stat().st_size for f in (tmp_path / name).glob("part-*")) for name in ("small", "plain")]
+    assert sizes[0] < sizes[1] / 3
+
+
 def test_windows_of_one_long_state_are_made_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(replay, "STRETCH", 10)
     rows = [("PY", "1", 3, None), ("PY", "2", 1, 1), ("PY", "2", 2, 95)]
