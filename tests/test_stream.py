@@ -366,6 +366,21 @@ def test_windows_of_one_long_state_are_made_by_several_tasks(spark, monkeypatch)
     assert out.filter("codigo_sku = '1'").groupBy(F.spark_partition_id()).count().count() > 1
 
 
+def test_rows_of_all_windows_come_by_stretch_key_and_window(spark, monkeypatch):
+    monkeypatch.setattr(replay, "STRETCH", 8)
+    rows = [("PY", f"{k}", w, None if w + step > 40 else w + step - 1) for k, step in enumerate((3, 7, 11, 40), 1)
+            for w in range(k, 41, step)]
+    states = spark.createDataFrame(rows, "pais string, codigo_sku string, ventana bigint, hasta bigint")
+    out = replay.in_every_window(states, F.lit(40).cast("bigint"))
+    got = out.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "codigo_sku", "ventana").orderBy("i").collect()
+    assert sorted((r.codigo_sku, r.ventana) for r in got) == [(str(k), w) for k in range(1, 5) for w in range(k, 41)]
+    for task in {r.p for r in got}:
+        order = [((r.ventana - 1) // 8, r.codigo_sku, r.ventana) for r in got if r.p == task]
+        assert order == sorted(order)
+    pieces = {(r.p, r.codigo_sku, (r.ventana - 1) // 8) for r in got}
+    assert len(pieces) == len({p[1:] for p in pieces})  # a key's stretch is in one task
+
+
 def test_keys_of_a_bucket_share_one_state_value():
     calls, kept = [], {}
 
